@@ -36,7 +36,7 @@ class Dialect:
 
 
 #: ``key: value`` lists. A comma, a single slash between non-blanks and a blank belong to the value.
-CHARACTERISTICS = Dialect(r"\s*(?:[;|]|//)\s*|\s*\s/\s\s*|\s*[\t\n\r\f\v\x85  ]\s*", True, False)
+CHARACTERISTICS = Dialect(r"\s*(?:[;|]|//)\s*|\s*\s/\s\s*|\s*[\t\n\r\f\v\x85\u2028\u2029]\s*", True, False)
 #: Lists of identifiers, which hold no blanks or punctuation but the hyphen and the underscore.
 IDENTIFIERS = Dialect(r"\s*[;,|/+&]\s*|\s+", False, True)
 
