@@ -49,15 +49,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}
 
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
-_TERM = f"nullif(regexp_replace(lower({{}}), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '')"
+
+
+def _sql_term(x: str) -> str:
+    return f"nullif(regexp_replace(lower({x}), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '')"
+
+
 _COUNTS = f"""
 with p as (
-  select 'p1_value' src, {_TERM.format("p1_value")} term, gsm record, 1 occ from gsm_phase_results
+  select 'p1_value' src, {_sql_term("p1_value")} term, gsm record, 1 occ from gsm_phase_results
   union all
-  select 'value_dist', {_TERM.format("k")}, gse, coalesce(try_cast(json_extract_string(value_dist, '$."' || k || '"') as bigint), 0)
+  select 'value_dist', {_sql_term("k")}, gse, coalesce(try_cast(json_extract_string(value_dist, '$."' || k || '"') as bigint), 0)
   from (select gse, value_dist, unnest(json_keys(value_dist)) k from gse_field_aggregate where try_cast(value_dist as json) is not null and left(ltrim(value_dist), 1) = '{{')
   union all
-  select 'acronym', {_TERM.format("acronym")}, cast(row_number() over () as varchar), coalesce(samples, 0) from acronym_all
+  select 'acronym', {_sql_term("acronym")}, cast(row_number() over () as varchar), coalesce(samples, 0) from acronym_all
 ), q as (select * from p where term is not null and record is not null),
 t as (select src, term, cast(sum(occ) as bigint) occ, count(distinct record) records from q group by 1, 2),
 n as (select src, count(distinct record) total from q group by 1)
