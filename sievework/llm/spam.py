@@ -89,11 +89,12 @@ def block_features(df: DataFrame, *, id_col: str, text: str, lang: str, size: in
     return rows.mapInPandas(run, f"doc {kind}, lang string, chars int, n_bytes int, packed int, house double, words int, function_words int, ends int")
 
 
-def spam_pages(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 400, redundant: float = 1.05, sentence_words: float = 60.0, function_share: float = 0.14, most: float = 0.5, min_words: int = 12) -> DataFrame:
+def spam_pages(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 400, redundant: float = 1.05, sentence_words: float = 60.0, extreme: float = 0.75, sentence_words_extreme: float = 25.0, function_share: float = 0.14, most: float = 0.5, min_words: int = 12) -> DataFrame:
     """(id_col, spam_share, redundancy, sentence_density, is_spam) of every text with words.
 
     redundant: a block is redundant below this part of the usual ratio of its language and length. sentence_words: it is
-    confirmed if it has fewer than one real sentence end in so many words, or under function_share function words and no end.
+    confirmed if it has fewer than one real sentence end in so many words (in sentence_words_extreme words, if its ratio is
+    below ``extreme``: interjections don't save an extremely redundant page) and fewer than function_share function words.
     """
     step = 40
     feats = cut(block_features(df, id_col=id_col, text=text, lang=lang, size=size).withColumn("bucket", F.least(F.floor(F.col("n_bytes") / step), F.lit(2 * size // step)).cast("int")).withColumn("ratio", F.col("packed") / F.greatest("n_bytes", F.lit(1))))
@@ -102,7 +103,7 @@ def spam_pages(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lan
     overall = feats.groupBy("bucket").agg(F.percentile_approx("ratio", 0.5, 1000).alias("overall"))
     rows = feats.join(F.broadcast(usual), ["lang", "bucket"], "left").join(F.broadcast(overall), "bucket")
     z = F.col("ratio") / F.coalesce("usual", "overall")
-    few = F.col("ends") * sentence_words < F.col("words")
+    few = F.col("ends") * F.when(z < extreme, sentence_words_extreme).otherwise(sentence_words) < F.col("words")
     bare = F.col("function_words") < function_share * F.col("words")
     hit = (z < redundant) & few & bare & (F.col("house") < 0.5)
     per = rows.groupBy("doc").agg(
