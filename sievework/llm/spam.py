@@ -33,9 +33,15 @@ FUNCTION_WORDS = frozenset(
 )
 WORD = re.compile(r"[^\W\d_]+")
 #: A mark ends a sentence only before a blank, a closing bracket or quote, or the end; not within numbers and addresses.
-SENTENCE = re.compile(r"(?s).+?[.!?…]+(?=[\"'”»)\]]*(?:\s|$))")
-#: Entries of the house's own papers: contents with page numbers, rows of figures, names of a division.
-HOUSE = re.compile(r"(?m)^[ \t]*\d+\.[ \t][^\n]*?[.… ]{2,}\d+[ \t]*$|[^\W\d_][^\d;|\n]{0,40}?\d+(?:[.,]\d+)? (?:per|pro|par|je|le|la) [^\W\d_]+(?=[;,.\n]|$)|^[^\n|]*\|[ \t]*[\d.,]+[ \t]*\|[^\n]*$|(?:^|(?<=[;\s]))[^\W\d_'’-]{2,}(?:['’-][^\W\d_]+)*, ?[^\W\d_]\.(?=[;\s]|$)")
+END = re.compile(r"[.!?…]+(?=[\"'”»)\]]*(?:\s|$))")
+# Entries of the house's own papers, each with what a block must hold for it to be looked for:
+#: contents with page numbers, rows of figures, prices of goods, names of a division.
+CONTENTS = re.compile(r"(?m)^[ \t]*\d+\.[ \t][^\n]*?[.… ]{2,}\d+[ \t]*$")
+FIGURES = re.compile(r"(?m)^[^\n|]*\|[ \t]*[\d.,]+[ \t]*\|[^\n]*$")
+PRICE = re.compile(r"\s*[^\W\d_][^\d|]{0,40}?\d+(?:[.,]\d+)? (?:per|pro|par|je|le|la) [^\W\d_]+\.?\s*")
+NAME = re.compile(r"(?:^|(?<=[;\s]))[^\W\d_'’-]{2,}(?:['’-][^\W\d_]+)*, ?[^\W\d_]\.(?=[;\s]|$)")
+UNIT = re.compile(r"\d (?:per|pro|par|je|le|la) ")
+INITIAL = re.compile(r", ?[^\W\d_]\.(?:[;\s]|$)")
 GAP = re.compile(r"\s")
 LEADERS = re.compile(r"([^\w\s])\1{2,}")
 
@@ -57,17 +63,32 @@ def blocks(text: str, size: int) -> Iterator[str]:
         yield held
 
 
+def house_chars(block: str) -> int:
+    """Characters in entries of the house's own papers."""
+    n = 0
+    if ".." in block or "…" in block or "  " in block:
+        n += sum(len(m[0]) for m in CONTENTS.finditer(block))
+    if "|" in block:
+        n += sum(len(m[0]) for m in FIGURES.finditer(block))
+    if UNIT.search(block):
+        n += sum(len(x) for x in re.split(r"[;\n]", block) if PRICE.fullmatch(x))
+    if INITIAL.search(block):
+        n += sum(len(m[0]) for m in NAME.finditer(block))
+    return n
+
+
 def measure(block: str) -> tuple[int, int, float, int, int, int]:
     """(bytes, compressed bytes, share of its characters in house entries, words, function words, real sentence ends)."""
     raw = LEADERS.sub(r"\1", block).encode("utf-8", "replace")
-    house = sum(len(m[0]) for m in HOUSE.finditer(block)) / max(1, len(block.strip()))
-    words = WORD.findall(block.lower())
-    ends = 0
-    for m in SENTENCE.finditer(block):
-        w = WORD.findall(m[0].lower())
+    ends = words = functions = at = 0
+    for end in (*[m.end() for m in END.finditer(block)], len(block)):
+        w = WORD.findall(block[at:end].lower())
         f = sum(x in FUNCTION_WORDS for x in w)
-        ends += len(w) >= 3 and f >= 1 and f * 8 >= len(w)
-    return len(raw), len(zlib.compress(raw, 9, -15)), min(1.0, house), len(words), sum(w in FUNCTION_WORDS for w in words), ends
+        words, functions = words + len(w), functions + f
+        # what stands behind the last mark is no sentence
+        ends += (end < len(block) or block[end - 1 : end] in ".!?…") and len(w) >= 3 and f >= 1 and f * 8 >= len(w)
+        at = end
+    return len(raw), len(zlib.compress(raw, 6, -15)), min(1.0, house_chars(block) / max(1, len(block.strip()))), words, functions, ends
 
 
 def language(col: Column) -> Column:
