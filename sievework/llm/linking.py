@@ -186,6 +186,7 @@ class Dictionary:
             return None
         forms = [f for tokens in readings(label) for f in (tokens, *([[*tokens[:-1], tokens[-1][:-1]]] if tokens[-1].endswith("s") and len(tokens[-1]) > 2 else []))]
         keys = list(dict.fromkeys(key(turn) for form in forms for turn in turns(form)))
+        keys += [k[:-1] for k in keys if k.endswith("s") and len(k) > 3 and k[:-1] not in keys]
         for word in keys:
             if hit := self.exact.get((group, word)):
                 return 0.0, hit[0], hit[2]

@@ -5,7 +5,7 @@ A change is first summed per (source, term, record), so that a frequent term is
 with the stored cell to tell whether the record begins or ceases to hold the term, and only then summed per term (with
 partial sums before the shuffle). The store keeps three tables in buckets by hash: cells (term in record), terms and
 records; an update reads and rewrites only the buckets that its change touches, as a new version; the manifest, written
-last, names the valid version of each bucket, so an update that dies leaves the counts as they were.
+last, names the valid version of each bucket, so an update that dies leaves the counts as they were and is overwritten by the next.
 
 Defined results: null terms, and rows with a null record, don't count; occurrences of null count 0 but the record holds the
 term; deleting what was never added is carried as a negative count until its addition arrives late; an empty change
@@ -99,7 +99,7 @@ class TermCounts:
         self._write(kind, delta.select(*keys, *values), version)
 
     def _write(self, kind: str, df: DataFrame, version: int) -> None:
-        df.withColumn("bucket", self._bucket(kind)).repartition(F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{kind}/version={version}")
+        df.withColumn("bucket", self._bucket(kind)).repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/version={version}")
 
     def _written(self, kind: str, version: int) -> list[int]:
         try:
