@@ -11,7 +11,6 @@ from sievework.functions.missing import NS, is_missing
 from sievework.functions.text import strip
 from sievework.operators.cascade import consolidate_greedy, context_policy, first_tier, lexical_pick, reconcile_sex, reroute
 from sievework.operators.dictionary import first_in_order
-from sievework.operators.vectors import components
 from sievework.plans.vocabulary import _tree, field_of
 from sievework.problems.p1_hierarchy import links_and_nodes
 from sievework.sources.tables import table
@@ -134,26 +133,17 @@ def lexical_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate_vectors(spark: SparkSession, sf_dir: str, threshold: float = 0.35) -> DataFrame:
-    """Vectors of one label as values: components by equal rounded leading coordinate, then greedy concepts."""
+    """Vectors of one label are a component; greedy concepts within each, by number of values."""
     e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"), F.col("label").alias("component"), (F.col("vec_id") % 7).alias("n"), F.col("embedding").alias("vec"))
     return consolidate_greedy(e, threshold=threshold).groupBy("component", "concept").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of the concept links: sizes and how many of each."""
-    links, nodes = links_and_nodes(spark, sf_dir)
-    links = links.filter("parent is not null and child is not null")
-    ends = links.select(F.col("parent").alias("node")).union(links.select("child")).union(nodes).distinct()
-    c = components(ends, links.select(F.col("parent").alias("a"), F.col("child").alias("b")))
-    return c.groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n_components"))
-
-
 _TN = r"regexp_replace(regexp_replace(upper(regexp_replace(tree_number, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '\.$', ''), '[\s\p{Z}]+$', '')"
 _ID = r"upper(regexp_replace(X, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
 _T = f"(select distinct num, id from (select {_TN} num, {_ID.replace('X', 'mesh_id')} id from mesh_tree) where num <> '' and id <> '')"
 _L = rf"(select {_ID.replace('X', 'parent_id')} p, {_ID.replace('X', 'child_id')} c from mesh_parent union select a.id, b.id from {_T} a join {_T} b on regexp_replace(b.num, '\.[^.]*$', '') = a.num and contains(b.num, '.'))"
 _W = "(select gsm, " + ", ".join(f"coalesce(max(trim(p1b_value, ' ')) filter (where field = '{f}'), 'Not Specified') {f.lower()}" for f in ("Sex", "Age", "Tissue", "Condition", "Treatment")) + " from (select * from gsm_phase_results where gsm is not null qualify row_number() over (partition by gsm, field order by updated_at desc nulls last, pr_id desc) = 1) group by 1)"
-QUERIES = {f.__name__: f for f in (resolution_cascade, field_reroute, context_stage, sex_reconciled, age_screen, branch_sets, tree_walk, corpus_composition, judged_precision, lexical_picks, consolidate_vectors, link_components)}
+QUERIES = {f.__name__: f for f in (resolution_cascade, field_reroute, context_stage, sex_reconciled, age_screen, branch_sets, tree_walk, corpus_composition, judged_precision, lexical_picks, consolidate_vectors)}
 ORACLES = {
     "field_reroute": f"""with v as (select lower(trim(term, ' ')) k, category from vocab), d as (select k from v group by 1 having bool_or(category in ('C', 'F')) and not bool_or(category = 'A')), l as (select distinct lower(trim(name, ' ')) k from cell_lines where name is not null),
 w as (select *, lower(tissue) in (select k from d) dt, lower(condition) in (select k from l) lc, lower(treatment) in (select k from l) lt from {_W}),

@@ -25,10 +25,10 @@ def brute(links):
     return ways, cyclic, roots
 
 
-def some_links(seed, n=40):
+def some_links(seed, n=22):
     rnd = random.Random(seed)
     out = {(f"n{rnd.randint(max(0, i - 3), i - 1)}", f"n{i}") for i in range(1, n) if rnd.random() < 0.9}
-    return sorted(out | {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(6)})
+    return sorted(out | {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(4)})
 
 
 @pytest.mark.parametrize("finish", [0, 4000])
@@ -45,15 +45,15 @@ def test_descendants_and_paths(spark):
     links = some_links(5)
     ways, _, roots = brute(links)
     df = spark.createDataFrame(links, "parent string, child string")
-    got = contract(df, mode="descendants", finish_links=15).labels.collect()
+    got = contract(df, mode="descendants", finish_links=8).labels.collect()
     assert {(r.node, r.source): r.depth for r in got} == ways and len(got) == len(ways)
-    for r in contract(df, mode="paths", finish_links=15).labels.collect():
+    for r in contract(df, mode="paths", finish_links=8).labels.collect():
         assert r.path[0] == r.source and r.path[-1] == r.node and len(r.path) == r.depth + 1
         assert all(e in links for e in zip(r.path, r.path[1:]))
 
 
 def test_long_chain_takes_few_rounds(spark):
-    n = 120
+    n = 60
     df = spark.createDataFrame([(f"c{i:04}", f"c{i + 1:04}") for i in range(n)], "parent string, child string")
     h = contract(df, finish_links=0)
     assert {r.node: r.depth for r in h.labels.collect()} == {f"c{i:04}": i for i in range(n + 1)}
