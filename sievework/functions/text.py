@@ -14,6 +14,11 @@ def strip(col: Column | str) -> Column:
     return F.regexp_replace(F.col(col) if isinstance(col, str) else col, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def plain_space(col: Column | str) -> Column:
+    """Without surrounding white space, inner white space other than blanks as tabs, so that an ASCII ``\\s`` finds it."""
+    return F.regexp_replace(strip(col), f"[{SPACE}&&[^ ]]", "\t")
+
+
 def blank_to_null(col: Column) -> Column:
     return F.when(col != "", col)
 

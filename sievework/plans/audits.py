@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.guards import age_class, age_parts, bare_control, control_condition, fast_age, fast_sex, generic_tissue, normalize_sex, pure_qualifier, recover_disease, sex_grounded, verbatim
 from sievework.functions.labels import canonicalize, extract_dose, fold_key, id_parts, kv_pairs, line_safe, safe_name, spans, strip_dose, treatment_spans
 from sievework.functions.missing import SETS, is_missing, is_present
-from sievework.functions.text import strip
+from sievework.functions.text import plain_space, strip
 from sievework.operators.metrics import cluster_bootstrap, prf, wilson
 from sievework.sources.tables import table
 
@@ -193,8 +193,18 @@ def grounding_audit_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routing_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How answers came about (source) by field: rows, distinct labels, and of those with an exact vocabulary name."""
-    names = table(spark, sf_dir, "vocab").select(canonicalize(F.col("term")).alias("canon")).distinct().withColumn("hit", F.lit(True))
-    rows = table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).select("col", "source", "input_label", canonicalize(F.col("input_label")).alias("canon"))
+    names = table(spark, sf_dir, "vocab").select(canonicalize(F.col("term")).alias("canon")).distinct()
+    return _routing(table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).withColumn("canon", canonicalize(F.col("input_label"))), names)
+
+
+def routing_decomposition_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`routing_decomposition`, over every row; a label without a canonical form has no exact name."""
+    names = table(spark, sf_dir, "vocab").select(canonicalize(plain_space("term")).alias("canon")).filter("canon <> ''").distinct()
+    return _routing(table(spark, sf_dir, "resolutions").withColumn("canon", canonicalize(plain_space("input_label"))), names)
+
+
+def _routing(rows: DataFrame, names: DataFrame) -> DataFrame:
+    rows, names = rows.select("col", "source", "input_label", "canon"), names.withColumn("hit", F.lit(True))
     out = rows.join(names, "canon", "left").groupBy("col", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("input_label").alias("labels"), F.count_distinct(F.when(F.col("hit"), F.col("input_label"))).alias("exact"))
     return out
 
@@ -217,6 +227,12 @@ def export_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("raw", safe_name(F.col("raw")).alias("safe"), line_safe(F.col("raw")).alias("line"))
 
 
+def export_safe_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`export_safe_names`, for every label whatever its characters."""
+    rows = table(spark, sf_dir, "resolutions").filter("input_label is not null").select(F.col("input_label").alias("raw")).distinct()
+    return rows.select("raw", safe_name(F.col("raw")).alias("safe"), line_safe(F.col("raw")).alias("line"))
+
+
 _SC = """(select gse, gsm, field, lower(trim(p1_value, ' ')) v, lower(trim(p1b_value, ' ')) gold, case when na and ng then 'TN' when na then 'FN' when ng then 'FP' when lower(trim(p1_value, ' ')) = lower(trim(p1b_value, ' ')) then 'TP' else 'SUB' end verdict
 from (select *, lower(trim(coalesce(p1_value, ''), ' ')) in (NSF) na, lower(trim(coalesce(p1b_value, ''), ' ')) in (NSF) ng from gsm_phase_results where field in ('Tissue', 'Condition', 'Treatment')))""".replace("NSF", ", ".join(f"'{x}'" for x in SETS["fold"]))
 _IN = lambda n: ", ".join("'" + x + "'" for x in SETS[n])
@@ -227,7 +243,7 @@ _JV = r"lower(regexp_replace(verdict, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
 QUERIES = {f.__name__: f for f in (
     verdict_prf_by_field, wilson_by_field, study_level_macro, concept_level_macro, cluster_bootstrap_ci, error_partition, context_recovery, missing_value_census, populated_rate_preflight, judge_rates, multi_label_precision,
     integrity_screen_sex, sex_values, fast_sex_age, age_composition, age_part_columns, kv_characteristics, dose_extract_strip, treatment_span_counts, condition_control_split, qualifier_census, verbatim_guard, grounding_audit_2x2,
-    routing_decomposition, baseline_coverage, topk_examples_per_class, export_safe_names,
+    routing_decomposition, baseline_coverage, topk_examples_per_class, export_safe_names, routing_decomposition_all, export_safe_names_all,
 )}
 from sievework.plans.dictionary import canon_sql  # noqa: E402
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.guards import age_years
 from sievework.functions.labels import augmented_tokens, blocking_key, fold_key
 from sievework.functions.missing import NS, is_missing
-from sievework.functions.text import strip
+from sievework.functions.text import plain_space, strip
 from sievework.operators.cascade import consolidate_greedy, context_policy, first_tier, lexical_pick, reconcile_sex, reroute
 from sievework.operators.dictionary import first_in_order
 from sievework.plans.vocabulary import _tree, field_of
@@ -20,8 +20,9 @@ def resolution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct labels through exact name, fold key, blocking key and cell-line tiers: labels by field and tier."""
     v = table(spark, sf_dir, "vocab").select(field_of(F.col("category")).alias("col"), "term", F.col("mesh_id").alias("ref_id")).filter("col is not null and term is not null")
     lines = table(spark, sf_dir, "cell_lines").filter("name is not null").select(F.lit("Tissue").alias("col"), F.col("name").alias("term"), F.col("cvcl").alias("ref_id"))
-    labels = table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).select("col", F.col("input_label").alias("label")).distinct()
-    out, keys = labels, {"exact": lambda c: F.lower(F.trim(c)), "fold": fold_key, "block": blocking_key, "line": fold_key}
+    labels = table(spark, sf_dir, "resolutions").filter("input_label is not null").select("col", F.col("input_label").alias("label")).distinct()
+    fold = lambda c: fold_key(plain_space(c))
+    out, keys = labels, {"exact": lambda c: F.lower(plain_space(c)), "fold": fold, "block": blocking_key, "line": fold}
     tiers = []
     for name, f in keys.items():
         out = out.withColumn(f"k_{name}", f(F.col("label")))

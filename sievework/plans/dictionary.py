@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.labels import blocking_key, canonicalize, fold_key, id_type, identifier_shaped, is_junk, mint_id, short_form, short_form_alnum, spans, surface_shape
 from sievework.functions.missing import is_missing
+from sievework.functions.text import plain_space
 from sievework.operators.dictionary import apply_dictionary, build_dictionary, first_in_order, fold_canon, mint, short_form_slots, stage, value_spans
 from sievework.sources.tables import table
 
@@ -84,6 +85,12 @@ def mint_oov_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("col", F.col("input_label").alias("raw")).distinct().withColumn("ref_id", mint_id(F.col("col"), F.col("raw")))
 
 
+def mint_oov_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`mint_oov_ids`, for every label whatever its characters."""
+    rows = table(spark, sf_dir, "resolutions").filter("input_label is not null")
+    return rows.select("col", F.col("input_label").alias("raw")).distinct().withColumn("ref_id", mint_id(F.col("col"), plain_space("raw")))
+
+
 def casefold_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minted rows of resolutions folded: per key the id and the label met most."""
     rows = table(spark, sf_dir, "resolutions").filter(F.col("output_id").rlike("^(OOV|ART)") & F.col("output_name").isNotNull()).select("col", F.col("output_id").alias("ref_id"), F.col("output_name").alias("label"))
@@ -104,7 +111,7 @@ def oov_consolidation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocking_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "vocab").filter(F.col("term").rlike(r"^[ -~]+\z")).select(blocking_key(F.col("term")).alias("k"), "term", "mesh_id")
+    rows = table(spark, sf_dir, "vocab").filter("term is not null").select(blocking_key(F.col("term")).alias("k"), "term", "mesh_id")
     return rows.groupBy("k").agg(F.count_distinct("term").alias("terms"), F.count_distinct("mesh_id").alias("concepts")).filter("terms > 1")
 
 
@@ -147,6 +154,12 @@ def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("canon", canonicalize(F.col("raw")))
 
 
+def canonical_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`canonical_values`, for every label whatever its characters."""
+    rows = table(spark, sf_dir, "resolutions").filter("input_label is not null").select(F.col("input_label").alias("raw")).distinct()
+    return rows.withColumn("canon", canonicalize(plain_space("raw")))
+
+
 def id_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of resolutions and judged values by field and kind of id."""
     a = table(spark, sf_dir, "resolutions").select(F.col("col").alias("field"), "output_id")
@@ -156,7 +169,16 @@ def id_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identical_input_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of labels with one canonical form, and how many of them got several ids, by field."""
-    rows = table(spark, sf_dir, "resolutions").filter((F.trim("output_id") != "") & F.col("input_label").rlike(r"^[ -~]+\z")).select("col", canonicalize(F.col("input_label")).alias("canon"), "input_label", F.upper(F.trim("output_id")).alias("ref_id"))
+    return _consistency(table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).withColumn("canon", canonicalize(F.col("input_label"))))
+
+
+def identical_input_consistency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`identical_input_consistency`, for every label whatever its characters; one without a canonical form is alike to none."""
+    return _consistency(table(spark, sf_dir, "resolutions").withColumn("canon", canonicalize(plain_space("input_label"))).filter("canon <> ''"))
+
+
+def _consistency(rows: DataFrame) -> DataFrame:
+    rows = rows.filter(F.trim("output_id") != "").select("col", "canon", "input_label", F.upper(F.trim("output_id")).alias("ref_id"))
     per = rows.groupBy("col", "canon").agg(F.count_distinct("input_label").alias("forms"), F.count_distinct("ref_id").alias("ids")).filter("forms > 1")
     return per.groupBy("col").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("ids") > 1).alias("disagree"))
 
@@ -200,6 +222,7 @@ _FOLD = r"regexp_replace(lower(trim(output_name, ' ')), '[\s\-_.]+', '', 'g')"
 QUERIES = {f.__name__: f for f in (
     value_dictionary_counts, value_dictionary_by_part, label_dictionary_unsplit, shortform_slots_by_study, corpus_load_first_seen, deterministic_staging, minted_dictionary, stage_shares, dictionary_apply_back, mint_oov_ids,
     casefold_oov, casefold_effect, oov_consolidation_stats, blocking_key_groups, label_collapse_ratio, resolution_latest, dominant_value_share, value_shapes, junk_values, canonical_values, id_types, identical_input_consistency,
+    mint_oov_ids_all, canonical_values_all, identical_input_consistency_all,
 )}
 ORACLES = {
     "value_dictionary_counts": _DICT,

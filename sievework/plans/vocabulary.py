@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.labels import augmented_query, augmented_tokens, blocking_key, distinctive_words, fold_key, id_group
-from sievework.functions.text import blank_to_null, strip
+from sievework.functions.text import blank_to_null, plain_space, strip
 from sievework.operators.packed import IDENTIFIERS, split_packed
 from sievework.operators.vectors import components, top_k
 from sievework.sources.tables import table
@@ -141,7 +141,7 @@ def unanimous_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def augmented_label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewritten queries and distinctive words of vocabulary terms."""
-    t = table(spark, sf_dir, "vocab").filter(F.col("term").rlike(r"^[ -~]+\z")).select("term").distinct()
+    t = table(spark, sf_dir, "vocab").filter("term is not null").select("term").distinct()
     return t.select("term", F.coalesce(augmented_query(F.col("term")), F.lit("")).alias("query"), F.array_join(F.array_sort(augmented_tokens(F.col("term"))), " ").alias("tokens"), F.array_join(F.array_sort(distinctive_words(F.col("term"), ["compound", "tissue"])), " ").alias("words"))
 
 
@@ -176,7 +176,7 @@ def vector_topk_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def consolidate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending labels grouped into concepts: labels of a field joined by an equal blocking key or an equal fold key, transitively."""
-    rows = table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).select(F.concat_ws("|", "col", "input_label").alias("node"), "col", blocking_key(F.col("input_label")).alias("b"), fold_key(F.col("input_label")).alias("f")).distinct()
+    rows = table(spark, sf_dir, "resolutions").filter("input_label is not null").select(F.concat_ws("|", "col", "input_label").alias("node"), "col", blocking_key(F.col("input_label")).alias("b"), fold_key(plain_space("input_label")).alias("f")).distinct()
     # a star to each key's first label, not all pairs
     star = lambda k: rows.filter(F.col(k) != "").select("node", "col", F.col(k).alias("k")).join(rows.groupBy("col", F.col(k).alias("k")).agg(F.min("node").alias("hub")), ["col", "k"]).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     return components(rows, star("b").union(star("f"))).groupBy("component").agg(F.count(F.lit(1)).alias("labels"))
