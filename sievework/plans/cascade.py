@@ -13,6 +13,7 @@ from sievework.operators.cascade import consolidate_greedy, context_policy, firs
 from sievework.operators.dictionary import first_in_order
 from sievework.plans.vocabulary import _tree, field_of
 from sievework.problems.p1_hierarchy import links_and_nodes
+from sievework.runtime import broadcast_if_small
 from sievework.sources.tables import table
 
 
@@ -124,12 +125,11 @@ def judged_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Picks among vocabulary terms that share a rare token with a label; the score is the share of the label's tokens."""
+    """Picks among all vocabulary terms that share a token with a label; the score is the share of the label's tokens."""
     tokens = lambda c: augmented_tokens(F.col(c))
     v = table(spark, sf_dir, "vocab").select(F.col("term").alias("name"), F.col("mesh_id").alias("ref_id"), F.explode(tokens("term")).alias("tok")).distinct()
-    rare = v.groupBy("tok").agg(F.count_distinct("name").alias("df")).filter("df <= 40").select("tok")
     labels = table(spark, sf_dir, "resolutions").filter("input_label is not null").select(F.lower("input_label").alias("label")).distinct().withColumn("n", F.size(tokens("label")))
-    pairs = labels.select("label", "n", F.explode(tokens("label")).alias("tok")).join(v.join(F.broadcast(rare), "tok"), "tok").groupBy("label", "n", "ref_id", "name").agg(F.count(F.lit(1)).alias("c"))
+    pairs = labels.select("label", "n", F.explode(tokens("label")).alias("tok")).join(broadcast_if_small(v), "tok").groupBy("label", "n", "ref_id", "name").agg(F.count(F.lit(1)).alias("c"))
     return lexical_pick(pairs.select("label", "ref_id", "name", (F.col("c") / F.col("n")).alias("score")))
 
 

@@ -9,6 +9,7 @@ from sievework.functions.labels import augmented_query, augmented_tokens, blocki
 from sievework.functions.text import blank_to_null, plain_space, strip
 from sievework.operators.packed import IDENTIFIERS, split_packed
 from sievework.operators.vectors import components, top_k
+from sievework.runtime import broadcast_if_small
 from sievework.sources.tables import table
 
 
@@ -159,6 +160,20 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("label", F.col("b.term").alias("term"), F.col("b.mesh_id").alias("mesh_id"), (-F.col("b.s")).alias("score"))
 
 
+def lexical_rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`lexical_rerank`, among all terms that share any token with the label."""
+    toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
+    v = table(spark, sf_dir, "vocab").select("term", "mesh_id", toks(F.col("term")).alias("vt")).distinct()
+    vt = v.select("term", "mesh_id", F.size("vt").alias("nv"), F.explode("vt").alias("tok"))
+    labels = table(spark, sf_dir, "resolutions").select(F.lower("input_label").alias("label")).distinct().select("label", toks(F.col("label")).alias("lt"))
+    pairs = labels.select("label", F.size("lt").alias("nl"), F.explode("lt").alias("tok")).join(broadcast_if_small(vt), "tok")
+    # a term of several concepts is one pair for each of them
+    shared = pairs.groupBy("label", "term", "mesh_id", "nl", "nv").agg(F.count(F.lit(1)).alias("c"))
+    scored = shared.select("label", "term", "mesh_id", F.round(F.col("c") / (F.col("nl") + F.col("nv") - F.col("c")), 6).alias("score"))
+    best = scored.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "term", "mesh_id")).alias("b"))
+    return best.select("label", F.col("b.term").alias("term"), F.col("b.mesh_id").alias("mesh_id"), (-F.col("b.s")).alias("score"))
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of every hundredth vector."""
     e = table(spark, sf_dir, "embeddings")
@@ -196,7 +211,7 @@ _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{3,}}'))"
 _COS = "round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / greatest(sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[]))), 1e-12), 6)"
 QUERIES = {f.__name__: f for f in (
     exact_vocabulary_hit, ambiguous_surface_forms, unambiguous_index, concept_names, descriptor_text, tree_descendants, tree_shallowest, branch_validity, orphan_ids, label_drift, cell_line_match, cell_line_species, resource_summary,
-    vocabulary_coverage, acronym_senses, acronym_population, unanimous_definitions, augmented_label_queries, lexical_rerank, vector_topk, vector_topk_masked, consolidate_components, packed_judge_ids,
+    vocabulary_coverage, acronym_senses, acronym_population, unanimous_definitions, augmented_label_queries, lexical_rerank, lexical_rerank_all, vector_topk, vector_topk_masked, consolidate_components, packed_judge_ids,
 )}
 ORACLES = {
     "exact_vocabulary_hit": f"""with v as (select {_F.format("category")} col, lower(trim(term, ' ')) k, min(mesh_id) mesh_id from vocab group by 1, 2 having count(distinct mesh_id) = 1)

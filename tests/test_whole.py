@@ -71,3 +71,21 @@ def test_cascade_and_components_of_any_characters(spark, folder):
     got = {(r["col"], r["tier"]): r["labels"] for r in run(spark, folder, "resolution_cascade")}
     assert got == {("Tissue", "exact"): 2, ("Condition", "block"): 2, ("Tissue", "line"): 1, ("Tissue", "unresolved"): 3, ("Condition", "unresolved"): 3}
     assert sorted(r["labels"] for r in run(spark, folder, "consolidate_components")) == [1] * 5 + [2] * 3
+
+
+def test_common_tokens(spark, tmp_path):
+    vocab = [(f"disorder {chr(97 + i // 26)}{chr(97 + i % 26)}x", f"D{i:03}") for i in range(60)] + [("disorder", "D900"), ("anemia disorder", "D901"), ("anemia", "D901"), ("anemia", "D902")]
+    spark.createDataFrame(vocab, "term string, mesh_id string").write.parquet(f"{tmp_path}/vocab.parquet")
+    labels = ["Disorder", "disorder anemia", "severe anemia", "aax thing", "disorder of type abx", "nothing"]
+    spark.createDataFrame([(x,) for x in labels], "input_label string").write.parquet(f"{tmp_path}/resolutions.parquet")
+    tok = lambda s: set(re.findall("[a-z]{3,}", s.lower()))
+    want = {}
+    for x in map(str.lower, labels):
+        scored = [(-round(len(tok(x) & tok(t)) / len(tok(x) | tok(t)), 6), t, i) for t, i in vocab if tok(x) & tok(t)]
+        if scored:
+            s, t, i = min(scored)
+            want[x] = (t, i, -s)
+    assert {r["label"]: (r["term"], r["mesh_id"], r["score"]) for r in run(spark, tmp_path, "lexical_rerank_all")} == want
+    assert {"disorder", "disorder anemia"} <= set(want)
+    # "disorder" stands in 62 terms; alone it covers the one-word term, which takes the label
+    assert {r["label"]: r["name"] for r in run(spark, tmp_path, "lexical_picks")}["disorder"] == "disorder"
