@@ -58,6 +58,40 @@ def top_k(queries: DataFrame, index: DataFrame, *, k: int, category: bool = Fals
     return ranked.select("query_id", F.posexplode("top").alias("i", "t")).select("query_id", F.col("t.ref_id").alias("ref_id"), (-F.col("t.s")).alias("score"), (F.col("i") + 1).alias("rank"))
 
 
+def similar_pairs(vectors: DataFrame, *, threshold: float, block_rows: int = 200_000) -> DataFrame:
+    """(a, b): all pairs of nodes a < b whose cosine is at least ``threshold``. vectors: (node, vec), one row per node.
+
+    Complete: the vectors go around in blocks of at most ``block_rows``, each broadcast and multiplied with every batch.
+    """
+    spark = vectors.sparkSession
+    blocks = max(1, -(-vectors.count() // block_rows))
+    kind = vectors.schema["node"].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        pdf = vectors.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).select("node", "vec").toPandas()
+        ids, mat = pdf["node"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1)
+        bc = spark.sparkContext.broadcast((ids, mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)))
+
+        def pairs(batches, bc=bc):
+            ids, mat = bc.value
+            for q in batches:
+                if not len(ids) or not len(q):
+                    continue
+                m = np.array(q["vec"].tolist(), np.float64)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                own = q["node"].to_numpy()
+                # few rows at a time, so that the similarities of a large block stay small
+                step = max(1, 4_000_000 // len(ids))
+                for at in range(0, len(m), step):
+                    i, j = np.nonzero(m[at : at + step] @ mat.T >= threshold)
+                    a, b = own[at + i], ids[j]
+                    yield pd.DataFrame({"a": a[a < b], "b": b[a < b]})
+
+        part = vectors.select("node", "vec").mapInPandas(pairs, f"a {kind}, b {kind}")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node of each connected component; edges (a, b) in one direction are enough.
 

@@ -11,6 +11,7 @@ from sievework.functions.missing import NS, is_missing
 from sievework.functions.text import plain_space, strip
 from sievework.operators.cascade import consolidate_greedy, context_policy, first_tier, lexical_pick, reconcile_sex, reroute
 from sievework.operators.dictionary import first_in_order
+from sievework.operators.vectors import components, similar_pairs
 from sievework.plans.vocabulary import _tree, field_of
 from sievework.problems.p1_hierarchy import links_and_nodes
 from sievework.runtime import broadcast_if_small
@@ -134,8 +135,10 @@ def lexical_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate_vectors(spark: SparkSession, sf_dir: str, threshold: float = 0.35) -> DataFrame:
-    """Vectors of one label are a component; greedy concepts within each, by number of values."""
-    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"), F.col("label").alias("component"), (F.col("vec_id") % 7).alias("n"), F.col("embedding").alias("vec"))
+    """Vectors joined by a cosine of at least ``threshold``, transitively, are a component; greedy concepts within each, by number of values."""
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"), (F.col("vec_id") % 7).alias("n"), F.col("embedding").alias("vec"))
+    nodes = e.withColumnRenamed("label", "node")
+    e = e.join(components(nodes, similar_pairs(nodes, threshold=threshold)).withColumnRenamed("node", "label"), "label")
     return consolidate_greedy(e, threshold=threshold).groupBy("component", "concept").agg(F.count(F.lit(1)).alias("n_values"))
 
 

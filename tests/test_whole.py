@@ -3,10 +3,13 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from sievework.functions.labels import FILLER, GREEK
+from sievework.operators.vectors import similar_pairs
+from sievework.plans.cascade import consolidate_vectors
 
 LABELS = [
     ("Tissue", "Cörtex"), ("Tissue", " cörtex\t"), ("Tissue", "liver–biopsy"), ("Tissue", "liver biopsy"), ("Tissue", "HeLa α"), ("Condition", "anemia"), ("Condition", "Anémia (n = 5)"),
@@ -89,3 +92,30 @@ def test_common_tokens(spark, tmp_path):
     assert {"disorder", "disorder anemia"} <= set(want)
     # "disorder" stands in 62 terms; alone it covers the one-word term, which takes the label
     assert {r["label"]: r["name"] for r in run(spark, tmp_path, "lexical_picks")}["disorder"] == "disorder"
+
+
+def test_vectors_joined_by_similarity(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(60, 8))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id as node", "embedding as vec")
+    for threshold in (0.7, 0.35):
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if vecs[i] @ vecs[j] >= threshold}
+        for block in (200_000, 25):
+            assert {tuple(r) for r in similar_pairs(df, threshold=threshold, block_rows=block).collect()} == want
+    got = consolidate_vectors(spark, str(tmp_path), threshold=0.7).collect()
+    near, part = {i: [j for j in range(60) if vecs[i] @ vecs[j] >= 0.7] for i in range(60)}, {}
+    for i in range(60):
+        seen, todo = set(), [i]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near[x]
+        part[i] = min(f"v{x}" for x in seen)
+    sizes = {}
+    for r in got:
+        assert part[int(r["concept"][1:])] == r["component"]
+        sizes[r["component"]] = sizes.get(r["component"], 0) + r["n_values"]
+    assert sizes == {p: list(part.values()).count(p) for p in part.values()}
