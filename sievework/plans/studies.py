@@ -108,6 +108,12 @@ def sample_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.distinct()
 
 
+def sample_context_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`sample_context_text`, with the blueprint's limit of 700 characters instead of 120."""
+    rows = table(spark, sf_dir, "gsm_context").select("gse", "gsm", sample_context({"title": F.col("title"), "source": F.col("source_name"), "treatment": F.col("treatment_protocol")}).alias("context"))
+    return rows.distinct()
+
+
 def resume_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of the context that no phase row has finished (p2 present), as the resume filter sees them."""
     done = table(spark, sf_dir, "gsm_phase_results").filter("p2_value is not null").select("gsm").distinct()
@@ -133,7 +139,7 @@ _LAST = "(select * from gsm_phase_results qualify row_number() over (partition b
 _NS = "lower(trim(coalesce(p1_value, ''), ' ')) in ('', 'not specified', 'none', 'n/a', 'na')"
 _P = f"(select gse, gsm, field, lower(trim(p1_value, ' ')) v from {_LAST} where not {_NS})"
 QUERIES = {f.__name__: f for f in (
-    sibling_distribution_loo, sibling_top5_text, study_field_aggregate, consensus_verdict, unanimous_promotion, study_canon_upsert, context_upsert, phase_value_upsert, phase_with_context, characteristic_keys, sample_context_text,
+    sibling_distribution_loo, sibling_top5_text, study_field_aggregate, consensus_verdict, unanimous_promotion, study_canon_upsert, context_upsert, phase_value_upsert, phase_with_context, characteristic_keys, sample_context_text, sample_context_text_all,
     resume_keep_last, event_sibling_loo, proportional_allocation,
 )}
 ORACLES = {

@@ -119,3 +119,10 @@ def test_vectors_joined_by_similarity(spark, tmp_path):
         assert part[int(r["concept"][1:])] == r["component"]
         sizes[r["component"]] = sizes.get(r["component"], 0) + r["n_values"]
     assert sizes == {p: list(part.values()).count(p) for p in part.values()}
+
+
+def test_context_longer_than_120(spark, tmp_path):
+    rows = [("G1", "S1", "t", "x" * 150 + tail, "p" * 700) for tail in ("a", "b")]
+    spark.createDataFrame(rows, "gse string, gsm string, title string, source_name string, treatment_protocol string").write.parquet(f"{tmp_path}/gsm_context.parquet")
+    got = sorted(r["context"] for r in run(spark, tmp_path, "sample_context_text_all"))
+    assert got == [f"title: t | source: {r[3]} | treatment: {'p' * 700}"[:700] for r in rows]
