@@ -92,22 +92,22 @@ def similar_pairs(vectors: DataFrame, *, threshold: float, block_rows: int = 200
     return out
 
 
-def components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component; edges (a, b) in one direction are enough.
 
-    Labels shrink by the neighbours' least label and then by the label's own label (pointer jumping), so the rounds grow
-    with the logarithm of a component's length. Each round is checkpointed.
+    All nodes of one label take the least label that any of them has as a neighbour, and then that label's own new label
+    (pointer jumping), so settled regions merge as a whole. It ends when no label moves. Each round is checkpointed.
     """
     from sievework.runtime import cut
 
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     state = cut(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
+    while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = state.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = state.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("component"), (F.least("low", F.coalesce("far", "low")) < F.col("component")).alias("moved")))
+        hook = state.join(near, "node", "left").groupBy("component").agg(F.min(F.least("component", F.coalesce("near", "component"))).alias("low"))
+        low = cut(state.join(hook, "component"))
+        jump = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
+        new = cut(low.join(jump, "low").select("node", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("component")).alias("moved")))
         state = new.drop("moved")
         if new.filter("moved").isEmpty():
-            break
-    return state
+            return state

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sievework.functions.labels import FILLER, GREEK
-from sievework.operators.vectors import similar_pairs
+from sievework.operators.vectors import components, similar_pairs
 from sievework.plans.cascade import consolidate_vectors
 
 LABELS = [
@@ -126,3 +126,12 @@ def test_context_longer_than_120(spark, tmp_path):
     spark.createDataFrame(rows, "gse string, gsm string, title string, source_name string, treatment_protocol string").write.parquet(f"{tmp_path}/gsm_context.parquet")
     got = sorted(r["context"] for r in run(spark, tmp_path, "sample_context_text_all"))
     assert got == [f"title: t | source: {r[3]} | treatment: {'p' * 700}"[:700] for r in rows]
+
+
+def test_long_chain_is_one_component(spark):
+    # 119 ... 1 settle on 1, whose node is at the far end from 0
+    path = [0, *range(119, 0, -1)]
+    edges = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+    nodes = spark.createDataFrame([(x,) for x in [*path, 500]], "node long")
+    got = {r["node"]: r["component"] for r in components(nodes, edges).collect()}
+    assert got == {**dict.fromkeys(path, 0), 500: 500}
