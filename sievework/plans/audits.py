@@ -60,9 +60,9 @@ def concept_level_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 2.5 and 97.5 percentiles of the tissue agreement over 1,000 draws of studies, with the point estimate."""
+    """The 2.5 and 97.5 percentiles of the tissue agreement over 10,000 draws of studies, with the point estimate."""
     per = _scored(spark, sf_dir).filter("field = 'Tissue'").groupBy(F.col("gse").alias("cluster")).agg(F.count_if(F.col("verdict").isin("TP", "TN")).alias("ok"), F.count(F.lit(1)).alias("n"))
-    rates = cluster_bootstrap(per, draws=1000)
+    rates = cluster_bootstrap(per, draws=10_000)
     ends = rates.agg(F.percentile("rate", 0.025).alias("low"), F.percentile("rate", 0.975).alias("high"))
     return per.agg((F.sum("ok") / F.sum("n")).alias("rate")).crossJoin(ends)
 

@@ -8,7 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 from sievework.functions.labels import FILLER, GREEK
+from sievework.operators.metrics import cluster_bootstrap
 from sievework.operators.vectors import components, similar_pairs
+from sievework.plans import audits
 from sievework.plans.cascade import consolidate_vectors
 
 LABELS = [
@@ -135,3 +137,10 @@ def test_long_chain_is_one_component(spark):
     nodes = spark.createDataFrame([(x,) for x in [*path, 500]], "node long")
     got = {r["node"]: r["component"] for r in components(nodes, edges).collect()}
     assert got == {**dict.fromkeys(path, 0), 500: 500}
+
+
+def test_bootstrap_takes_10000_draws(spark, data, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(audits, "cluster_bootstrap", lambda per, draws: drawn.append(draws) or cluster_bootstrap(per, draws=draws))
+    row = audits.cluster_bootstrap_ci(spark, data).first()
+    assert drawn == [10_000] and row["low"] <= row["rate"] <= row["high"]
