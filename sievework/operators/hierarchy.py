@@ -1,36 +1,38 @@
 """Hierarchies from parent-child links by tree contraction.
 
-Rounds alternate two contractions on the links that are left, and record each one:
-
-* raking: a node without children leaves, with all its incoming links;
-* chain compression: a node with exactly one parent and one child is spliced out, the two links
-  becoming one longer link. Of neighbouring chain nodes only local minima of a per-round hash go,
-  so that no two adjacent ones are spliced in one round.
-
-A graph without loops contracts to nothing in a logarithmic number of rounds for trees. What does
-not contract (the core) holds the loops; a loop that shrinks to one node shows as a self-link.
-Each round about halves the links, so once at most ``finish_links`` are left the rest is solved in
-one task; a core above that bound is solved by distributed rounds.
-The records are then replayed backwards: every node gets its roots and distances from the parents
-it was recorded with, which were there longer than the node itself.
-
-Defined results: links with a null end are no links, but the other end still is a node; repeated
-links count once; a node with several parents gets a row for each root; nodes that no root reaches
-get no label; nodes of loops are listed in ``cyclic``. Empty input gives empty tables.
+Nodes are numbered in the order of their ids. Rounds alternate two contractions on the links that are left, and record
+what they take away:
+
+* chain compression: a node with exactly one parent and one child is spliced out, its two links becoming one longer link.
+  Of neighbouring chain nodes only local minima of a per-round hash go, so no two adjacent ones are spliced in one round;
+* raking: a node without children leaves, with all its incoming links.
+
+Rounds go on until no link is left or neither contraction finds anything, however few or many links there are. A loop that
+shrinks to one node shows as a self-link, which is noted and taken away. Where rounds stop short, loops with several ways
+in are left; nodes with a single parent or a single child are then spliced out, which never adds links, and rounds go on.
+Only a core in which every node has two parents and two children resists that; it is solved by rounds of shortest ways and
+of colouring.
+
+The records are then replayed backwards: every node gets its roots and distances from the parents that it was recorded
+with, which were there longer than the node itself; a spliced node lies on a loop if a parent and a child of it share one.
+
+Defined results: links with a null end are no links, but the other end still is a node; repeated links count once; a node
+with several parents gets a row for each root; nodes that no root reaches get no label; nodes of loops are listed in
+``cyclic``. Empty input gives empty tables. Ids of any type come back as strings.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.skew import hubs, salted_join
 from sievework.runtime import count_by, cut
 
-EDGE, RAKED, SPLICED, LOOP = 0, 1, 2, 3
+#: Kinds of rows of a round: links left, links of raked nodes, links into and out of spliced nodes, self-links.
+EDGE, RAKED, INTO, OUT, LOOP = 0, 1, 2, 3, 4
 
 
 @dataclass
@@ -43,7 +45,21 @@ class Hierarchy:
     rounds: int
 
 
-def contract(links: DataFrame, nodes: DataFrame | None = None, *, parent: str = "parent", child: str = "child", node: str = "node", mode: str = "roots", finish_links: int = 4_000, max_rounds: int = 500) -> Hierarchy:
+@dataclass
+class _Work:
+    """mode, and the nodes with so many children, or parents, that their rows are spread over several tasks (node -> parts)."""
+
+    mode: str
+    children: dict
+    parents: dict
+
+    @property
+    def mid(self) -> list[str]:
+        """With paths a link has the nodes spliced out of it; they are part of the paths that come out."""
+        return ["mid"] if self.mode == "paths" else []
+
+
+def contract(links: DataFrame, nodes: DataFrame | None = None, *, parent: str = "parent", child: str = "child", node: str = "node", mode: str = "roots") -> Hierarchy:
     """Roots, depths and loops of the graph of ``links`` (columns ``parent``, ``child``) and ``nodes``.
 
     mode ``roots``: labels are (node, source = root, depth). ``paths``: also ``path``, the ids from the root to the node on
@@ -52,218 +68,139 @@ def contract(links: DataFrame, nodes: DataFrame | None = None, *, parent: str =
     """
     if mode not in ("roots", "paths", "descendants"):
         raise ValueError(f"unknown mode {mode!r}")
-    raw = links.select(F.col(parent).alias("p"), F.col(child).alias("c"))
-    ends = raw.select(F.col("p").alias("node")).union(raw.select("c"))
-    if nodes is not None:
-        ends = ends.union(nodes.select(node))
-    ends = cut(ends.filter("node is not null").distinct())
-    raw = cut(raw.filter("p is not null and c is not null").distinct())
-    extra = _payload(mode)
-    edges = raw.filter("p <> c").select("p", "c", F.lit(1).alias("w"), *[F.expr(e).alias(k) for k, e in extra.items()])
-    loops = raw.filter("p = c").select(F.col("p").alias("node"))
-    edges = cut(edges)
-    records, shrunk, around, n = [], 0, [], {EDGE: edges.count()}
-    for k in range(max_rounds):
-        if k and n.get(EDGE, 0) <= finish_links or not n[EDGE]:
-            break
-        step = _round(edges, k, mode)
+    raw = links.select(F.col(parent).cast("string").alias("p"), F.col(child).cast("string").alias("c"))
+    names, edges, loops, work = _numbered(raw, nodes, node, mode)
+    records, core = [], False
+    n = {EDGE: edges.count()}
+    while n.get(EDGE):
+        step = cut(_round(edges, len(records), work))
         n = count_by(step, "kind")
+        if set(n) <= {EDGE}:
+            step = cut(_eliminate(edges, len(records), work))
+            n = count_by(step, "kind")
+            if set(n) <= {EDGE}:
+                core = True
+                break
         if n.get(LOOP):
-            closed = step.filter(F.col("kind") == LOOP)
-            loops = loops.union(closed.select(F.col("p").alias("node")))
-            if mode == "descendants":  # the nodes spliced out of a closed loop are ancestors of the one that is left
-                around.append(closed.select(F.col("c").alias("node"), F.inline("via").alias("src", "d")))
-        edges = step.filter(F.col("kind") == EDGE).drop("kind", "x")
-        if n.get(RAKED) or n.get(SPLICED):
-            records.append((step.filter(F.col("kind").isin(RAKED, SPLICED)), n.get(SPLICED, 0)))
-            shrunk = k + 1
-        if not n.get(EDGE) or not (n.get(RAKED) or n.get(SPLICED) or n.get(LOOP)):
-            break
-    core = n.get(EDGE, 0) > 0
+            loops = loops.union(step.filter(F.col("kind") == LOOP).select(F.col("p").alias("node")))
+        records.append((step, bool(n.get(INTO))))
+        edges = step.filter(F.col("kind") == EDGE).drop("kind")
     loops = cut(loops.distinct())
-    seeds = ends if mode == "descendants" else ends.join(raw.select(F.col("c").alias("node")).distinct(), "node", "left_anti")
     path = [F.array("node").alias("path")] if mode == "paths" else []
-    labels = seeds.select("node", F.col("node").alias("src"), F.lit(0).alias("d"), *path)
-    for more in around:
-        labels = labels.union(more)
+    own = (names if mode == "descendants" else names.filter("root")).select(F.col("id").alias("node"), F.col("id").alias("src"), F.lit(0).alias("d"))
+    labels = own.select("*", *path)
     marks = loops.select("node", F.col("node").alias("src"))
-    if core and n[EDGE] <= finish_links:
-        done = cut(_finish(labels, edges, mode))
-        labels = labels.union(done.filter("d >= 0"))
-        marks = marks.union(done.filter("d < 0").select("node", "src"))
-    elif core:
-        labels = _core_labels(labels, edges, mode)
-        marks = marks.union(_components(edges))
-    labels = _replay(labels, marks, records, mode)
-    labels, marks = labels.filter("d >= 0"), labels.filter("d < 0")
-    out = labels.select("node", F.col("src").alias("source"), F.col("d").alias("depth"), *(["path"] if mode == "paths" else []))
-    return Hierarchy(out, marks.select("node").distinct(), shrunk)
-
-
-def _payload(mode: str) -> dict[str, str]:
-    """Further columns of a link. mid: the nodes spliced out of it, on its shortest way; via: all of them, with their distance to its child."""
-    return {"roots": {}, "paths": {"mid": "cast(array() as array<string>)"}, "descendants": {"via": "cast(array() as array<struct<id:string,d:int>>)"}}[mode]
-
-
-def _round(edges: DataFrame, k: int, mode: str) -> DataFrame:
-    """One raking and splicing: a table of the links left (EDGE), the self-links made (LOOP) and the records (RAKED, SPLICED)."""
-    ends = edges.select(F.col("c").alias("v"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(edges.select("p", F.lit(0), F.lit(1)))
-    kinds = ends.groupBy("v").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).select("v", (F.col("o") == 0).alias("leaf"), ((F.col("i") == 1) & (F.col("o") == 1)).alias("chain")).filter("leaf or chain")
-    c, p = kinds.select(F.col("v").alias("c"), F.col("leaf").alias("c_leaf"), F.col("chain").alias("c_chain")), kinds.filter("chain").select(F.col("v").alias("p"), F.col("chain").alias("p_chain"))
-    flagged = edges.join(c, "c", "left").join(p, "p", "left").fillna(False, ["c_leaf", "c_chain", "p_chain"]).persist()
-    payload = list(_payload(mode))
-    rank = lambda col: F.struct(F.xxhash64(F.col(col), F.lit(k)).alias("h"), F.col(col).alias("id"))
-    arm = F.struct("w", *payload)
-    into = flagged.filter("c_chain").select(F.col("c").alias("v"), F.col("p").alias("u"), F.lit(None).cast("string").alias("x"), arm.alias("e1"), F.lit(None).cast(_struct_type(mode)).alias("e2"), F.lit(False).alias("bar"), F.when(F.col("p_chain"), rank("p")).alias("rival"))
-    outof = flagged.filter("p_chain").select(F.col("p").alias("v"), F.lit(None).cast("string").alias("u"), F.col("c").alias("x"), F.lit(None).cast(_struct_type(mode)).alias("e1"), arm.alias("e2"), F.col("c_leaf").alias("bar"), F.when(F.col("c_chain"), rank("c")).alias("rival"))
-    first = lambda col: F.first(col, ignorenulls=True).alias(col)
-    chosen = into.union(outof).groupBy("v").agg(first("u"), first("x"), first("e1"), first("e2"), F.max("bar").alias("bar"), F.min("rival").alias("rival")).filter(~F.col("bar") & (F.col("rival").isNull() | (rank("v") < F.col("rival")))).persist()
-    none = F.lit(None).cast("string").alias("x")
-    raked = flagged.filter("c_leaf").select(F.lit(RAKED).alias("kind"), "p", "c", "w", *payload, none)
-    spliced = chosen.select(F.lit(SPLICED).alias("kind"), F.col("u").alias("p"), F.col("v").alias("c"), *[F.col(f"e1.{x}").alias(x) for x in ["w", *payload]], "x")
-    longer = chosen.select(F.col("u").alias("p"), F.col("x").alias("c"), (F.col("e1.w") + F.col("e2.w")).alias("w"), *_joined(mode), F.lit(False).alias("gone"))
-    removed = lambda a, b: chosen.select(F.col(a).alias("p"), F.col(b).alias("c"), F.lit(0).alias("w"), *[F.expr(e).alias(x) for x, e in _payload(mode).items()], F.lit(True).alias("gone"))
-    kept = flagged.filter("not c_leaf").select("p", "c", "w", *payload, F.lit(False).alias("gone"))
+    if core:
+        labels, marks = _core_labels(cut(labels), edges, work), cut(marks.union(_components(edges)))
+    if mode == "descendants":  # a node's pair with itself is added at the end
+        labels = labels.filter("node <> src")
+    labels, marks = _replay(labels, marks, records, work)
+    if mode == "descendants":
+        labels = labels.filter("node <> src").union(own)
+    out = _named(labels, names, work)
+    cyclic = marks.select(F.col("node").alias("id")).distinct().join(names.select("id", F.col("name").alias("node")), "id").select("node")
+    return Hierarchy(out, cyclic, len(records))
+
+
+def _numbered(raw: DataFrame, nodes: DataFrame | None, node: str, mode: str) -> tuple:
+    """The nodes (name, id, root), the links between different ones (p, c, w) by number, the self-linked ones, and what rounds need to know."""
+    raw = cut(raw.distinct())
+    whole = F.col("p").isNotNull() & F.col("c").isNotNull()
+    one = lambda ok: F.when(ok, 1).otherwise(0)
+    ends = raw.select(F.col("p").alias("name"), one(whole).alias("below"), F.lit(0).alias("above")).union(raw.select("c", F.lit(0), one(whole)))
+    if nodes is not None:
+        ends = ends.union(nodes.select(F.col(node).cast("string"), F.lit(0), F.lit(0)))
+    names = ends.filter("name is not null").groupBy("name").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
+    # sorted, so that numbers compare as the ids do
+    names = cut(names.orderBy("name").select("name", F.monotonically_increasing_id().alias("id"), "below", "above", (F.col("above") == 0).alias("root")))
+    total = raw.count()
+    many = [hubs(names, "name", c, total) for c in ("below", "above")]
+    ids = names.select("name", "id")
+    edges = salted_join(raw.filter(whole), ids.select(F.col("name").alias("p"), F.col("id").alias("pi")), "p", many[0], ["c"])
+    edges = salted_join(edges, ids.select(F.col("name").alias("c"), F.col("id").alias("ci")), "c", many[1], ["pi"])
+    edges = cut(edges.select(F.col("pi").alias("p"), F.col("ci").alias("c"), F.lit(1).alias("w")))
+    loops = edges.filter("p = c").select(F.col("p").alias("node"))
+    work = _Work(mode, *[hubs(names, "id", c, total) for c in ("below", "above")])
+    empty = [F.expr("cast(array() as array<long>)").alias("mid")] if work.mid else []
+    return names, edges.filter("p <> c").select("p", "c", "w", *empty), loops, work
+
+
+def _arm(work: _Work, w: str = "w", mid: str = "mid") -> list[Column]:
+    return [F.col(w), *[F.col(mid) for _ in work.mid]]
+
+
+def _round(edges: DataFrame, k: int, work: _Work) -> DataFrame:
+    """One splicing and raking: a table (kind, p, c, w) of the links left, the self-links made and what was taken away."""
+    mid = bool(work.mid)
+    null = lambda t: F.lit(None).cast(t)
+    arrays = lambda a, b: [a.alias("mid_in"), b.alias("mid_out")] if mid else []
+    no = null("array<long>")
+    ends = edges.select(F.col("c").alias("v"), F.lit(1).alias("n_in"), F.lit(0).alias("n_out"), F.col("p").alias("u"), null("long").alias("x"), F.col("w").alias("w_in"), null("int").alias("w_out"), *arrays(F.col("mid") if mid else no, no))
+    ends = ends.union(edges.select("p", F.lit(0), F.lit(1), null("long"), "c", null("int"), "w", *arrays(no, F.col("mid") if mid else no)))
+    # of a chain node, which has one link each way, the least is the one
+    nodes = ends.groupBy("v").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), *[F.min(c).alias(c) for c in ("u", "x", "w_in", "w_out")], *([F.min(c).alias(c) for c in ("mid_in", "mid_out")] if mid else []))
+    nodes = nodes.filter("n_out = 0 or (n_in = 1 and n_out = 1)").persist()
+    chain = nodes.filter("n_out = 1").drop("n_in", "n_out")
+    rank = lambda v: F.xxhash64(F.col(v), F.lit(k))
+    rivals = chain.select(F.explode(F.array("u", "x")).alias("v"), rank("v").alias("rival"))
+    of_chain = [c for c in chain.columns if c != "v"]
+    met = chain.withColumn("rival", null("long")).unionByName(rivals, allowMissingColumns=True).groupBy("v").agg(*[F.min(c).alias(c) for c in of_chain], F.min("rival").alias("rival"))
+    gone = met.filter(F.col("u").isNotNull() & (F.col("rival").isNull() | (rank("v") < F.col("rival")))).drop("rival").persist()
+    link = lambda p, c, w, gone, m=None: F.struct(F.col(p).alias("p"), F.col(c).alias("c"), w.alias("w"), F.lit(gone).alias("gone"), *([m.alias("mid")] if mid else []))
+    joined = F.concat("mid_in", F.array("v"), "mid_out") if mid else None
+    change = gone.select(F.inline(F.array(link("u", "x", F.col("w_in") + F.col("w_out"), 0, joined), link("u", "v", null("int"), 1, no), link("v", "x", null("int"), 1, no))))
     # the links of a spliced node exist once, so a removal row takes its pair away as a whole
-    left = kept.union(longer).union(removed("u", "v")).union(removed("v", "x")).groupBy("p", "c").agg(*_merged(mode), F.max("gone").alias("gone")).filter("not gone")
-    left = left.select(F.when(F.col("p") == F.col("c"), LOOP).otherwise(EDGE).alias("kind"), "p", "c", "w", *payload, none)
-    done = cut(left.union(raked).union(spliced))
-    flagged.unpersist()
-    chosen.unpersist()
-    return done
+    left = edges.withColumn("gone", F.lit(0)).unionByName(change).groupBy("p", "c").agg(F.min("w").alias("w"), F.max("gone").alias("gone"), *([F.min(F.when(F.col("gone") == 0, F.struct("w", "mid")))["mid"].alias("mid")] if mid else []))
+    leaves = nodes.filter("n_out = 0").select(F.col("v").alias("c"), F.lit(RAKED).alias("leaf"))
+    left = salted_join(left.filter("gone = 0"), leaves, "c", work.parents, ["p"], "left")
+    left = left.select(F.when(F.col("p") == F.col("c"), LOOP).otherwise(F.coalesce("leaf", F.lit(EDGE))).alias("kind"), "p", "c", *_arm(work))
+    record = lambda kind, p, c, side: F.struct(F.lit(kind).alias("kind"), F.col(p).alias("p"), F.col(c).alias("c"), F.col(f"w_{side}").alias("w"), *([F.col(f"mid_{side}").alias("mid")] if mid else []))
+    return left.union(gone.select(F.inline(F.array(record(INTO, "u", "v", "in"), record(OUT, "v", "x", "out")))))
 
 
-def _struct_type(mode: str) -> str:
-    return {"roots": "struct<w:int>", "paths": "struct<w:int,mid:array<string>>", "descendants": "struct<w:int,via:array<struct<id:string,d:int>>>"}[mode]
+def _eliminate(edges: DataFrame, k: int, work: _Work) -> DataFrame:
+    """Where rounds find nothing: nodes with one parent or one child are spliced out, no two adjacent ones. Each has at most
+    as many links as before afterwards, so links get fewer."""
+    ends = edges.select(F.col("c").alias("v"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(edges.select("p", F.lit(0), F.lit(1)))
+    able = ends.groupBy("v").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).filter("least(i, o) = 1").select("v")
+    rank = lambda v: F.xxhash64(F.col(v), F.lit(k))
+    both = edges.join(able.select(F.col("v").alias("p")), "p").join(able.select(F.col("v").alias("c")), "c")
+    rivals = both.select(F.col("p").alias("v"), rank("c").alias("rival")).union(both.select("c", rank("p"))).groupBy("v").agg(F.min("rival").alias("rival"))
+    gone = cut(able.join(rivals, "v", "left").filter(F.col("rival").isNull() | (rank("v") < F.col("rival"))).select("v"))
+    into = cut(salted_join(edges, gone.withColumnRenamed("v", "c"), "c", work.parents, ["p"]).select(F.lit(INTO).alias("kind"), "p", "c", *_arm(work)))
+    out = cut(salted_join(edges, gone.withColumnRenamed("v", "p"), "p", work.children, ["c"]).select(F.lit(OUT).alias("kind"), "p", "c", *_arm(work)))
+    a = into.select(F.col("p").alias("u"), F.col("c").alias("v"), F.col("w").alias("w_in"), *[F.col("mid").alias("mid_in") for _ in work.mid])
+    b = out.select(F.col("p").alias("v"), F.col("c").alias("x"), F.col("w").alias("w_out"), *[F.col("mid").alias("mid_out") for _ in work.mid])
+    longer = a.join(b, "v").select(F.col("u").alias("p"), F.col("x").alias("c"), (F.col("w_in") + F.col("w_out")).alias("w"), *[F.concat("mid_in", F.array("v"), "mid_out").alias("mid") for _ in work.mid])
+    kept = edges.join(gone.withColumnRenamed("v", "p"), "p", "left_anti").join(gone.withColumnRenamed("v", "c"), "c", "left_anti").select("p", "c", *_arm(work))
+    left = kept.union(longer).groupBy("p", "c").agg(F.min("w").alias("w"), *[F.min(F.struct("w", "mid"))["mid"].alias("mid") for _ in work.mid])
+    return left.select(F.when(F.col("p") == F.col("c"), LOOP).otherwise(EDGE).alias("kind"), "p", "c", *_arm(work)).union(into).union(out)
 
 
-def _joined(mode: str) -> list[Column]:
-    """The payload of a link made of the links e1 into v and e2 out of it."""
-    if mode == "paths":
-        return [F.concat("e1.mid", F.array("v"), "e2.mid").alias("mid")]
-    if mode == "descendants":
-        return [F.concat(F.transform("e1.via", lambda a: F.struct(a["id"].alias("id"), (a["d"] + F.col("e2.w")).alias("d"))), F.array(F.struct(F.col("v").alias("id"), F.col("e2.w").alias("d"))), "e2.via").alias("via")]
-    return []
+def _reach(labels: DataFrame, links: DataFrame, work: _Work) -> DataFrame:
+    """Labels of the links' children, by one step from labelled parents; the shortest way each."""
+    at = salted_join(links, labels.withColumnRenamed("node", "p"), "p", work.children, ["c"])
+    hops = at.select(F.col("c").alias("node"), "src", (F.col("d") + F.col("w")).alias("d"), *[F.concat("path", "mid", F.array("c")).alias("path") for _ in work.mid])
+    return hops.groupBy("node", "src").agg(*_best(work))
 
 
-def _merged(mode: str) -> list[Column]:
-    """Parallel links as one: the shortest way, and all nodes that were spliced out of any."""
-    if mode == "paths":
-        return [F.min("w").alias("w"), F.min(F.struct("w", "mid"))["mid"].alias("mid")]
-    if mode == "descendants":
-        return [F.min("w").alias("w"), F.flatten(F.collect_list("via")).alias("via")]
-    return [F.min("w").alias("w")]
+def _best(work: _Work) -> list[Column]:
+    return [F.min("d").alias("d")] + [F.min(F.struct("d", "path"))["path"].alias("path") for _ in work.mid]
 
 
-def _reach(labels: DataFrame, links: DataFrame, mode: str) -> DataFrame:
-    """Labels of the links' children, by one step from labelled parents; links: (p, c, w, payload)."""
-    at = labels.withColumnRenamed("node", "p")
-    d = (F.col("d") + F.col("w")).alias("d")
-    if mode == "paths":
-        return links.join(at, "p").select(F.col("c").alias("node"), "src", d, F.concat("path", "mid", F.array("c")).alias("path"))
-    hops = links.join(at, "p").select(F.col("c").alias("node"), "src", d)
-    if mode == "descendants":
-        hops = hops.union(links.select(F.col("c").alias("node"), F.inline("via").alias("src", "d")))
-    return hops
-
-
-def _best(mode: str) -> list[Column]:
-    return [F.min("d").alias("d")] + ([F.min(F.struct("d", "path"))["path"].alias("path")] if mode == "paths" else [])
-
-
-def _finish(labels: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
-    """New labels (d >= 0) and loop marks (d = -1) of a remainder of few links, in one task."""
-    inner = edges.select(F.col("p").alias("node")).union(edges.select("c")).distinct()
-    paths = mode == "paths"
-    no = F.lit(None).cast("array<string>")
-    via = F.col("via") if mode == "descendants" else F.lit(None).cast("array<struct<id:string,d:int>>")
-    rows = edges.select(F.lit("edge").alias("kind"), F.col("p").alias("a"), F.col("c").alias("b"), F.col("w").alias("n"), (F.col("mid") if paths else no).alias("ids"), via.alias("via"))
-    rows = rows.union(labels.join(inner, "node", "left_semi").select(F.lit("label"), "node", "src", "d", F.col("path") if paths else no, F.lit(None).cast("array<struct<id:string,d:int>>")))
-
-    def solve(batches):
-        links, starts, known = {}, {}, set()
-        for pdf in batches:
-            for kind, a, b, n, ids, via in zip(*(pdf[c] for c in ("kind", "a", "b", "n", "ids", "via"))):
-                ids = tuple(ids) if ids is not None else ()
-                if kind == "edge":
-                    links.setdefault(a, []).append((b, n, ids))
-                    for x in via if via is not None else ():
-                        starts.setdefault(x["id"], []).append((x["d"], (), b))
-                else:
-                    starts.setdefault(b, []).append((n, ids, a))
-                    known.add((b, n, ids, a))
-        out = [(node, src, d, list(path) if paths else None) for src, at in starts.items() for node, d, path in shortest_ways(links, at, paths) if (src, d, path, node) not in known]
-        out += [(node, name, -1, None) for node, name in loop_components({a: [b for b, _, _ in to] for a, to in links.items()})]
-        yield pd.DataFrame(out, columns=["node", "src", "d", "path"])
-
-    got = rows.coalesce(1).mapInPandas(solve, "node string, src string, d int, path array<string>")
-    return got if paths else got.drop("path")
-
-
-def shortest_ways(links: dict, starts: list[tuple], paths: bool) -> list[tuple]:
-    """(node, distance, path) of what the starts (distance, path, node) reach, themselves included; the smallest path among equals."""
-    best, queue = {}, list(starts)
-    heapq.heapify(queue)
-    while queue:
-        d, path, node = heapq.heappop(queue)
-        if node in best:
-            continue
-        best[node] = (d, path)
-        for to, w, mid in links.get(node, ()):
-            if to not in best:
-                heapq.heappush(queue, (d + w, (*path, *mid, to) if paths else (), to))
-    return [(node, d, path) for node, (d, path) in best.items()]
-
-
-def loop_components(links: dict[str, list[str]]) -> list[tuple[str, str]]:
-    """(node, component's smallest node) of the nodes on loops of two nodes or more (strongly connected components, iteratively)."""
-    index, low, stack, on, out = {}, {}, [], set(), []
-    for first in links:
-        if first in index:
-            continue
-        work = [(first, iter(links[first]))]
-        index[first] = low[first] = len(index)
-        stack.append(first)
-        on.add(first)
-        while work:
-            node, it = work[-1]
-            for to in it:
-                if to not in index:
-                    index[to] = low[to] = len(index)
-                    stack.append(to)
-                    on.add(to)
-                    work.append((to, iter(links.get(to, ()))))
-                    break
-                if to in on:
-                    low[node] = min(low[node], index[to])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    part = []
-                    while not part or part[-1] != node:
-                        part.append(stack.pop())
-                        on.discard(part[-1])
-                    if len(part) > 1:
-                        out += [(x, min(part)) for x in part]
-    return out
-
-
-def _core_labels(labels: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
+def _core_labels(labels: DataFrame, edges: DataFrame, work: _Work) -> DataFrame:
     """Labels within the core, which has no leaf to start from: shortest ways from the labelled nodes, by rounds of improved labels."""
     key, front = ["node", "src"], labels
-    labels = cut(labels)
     while True:
-        new = _reach(front, edges, mode).groupBy(*key).agg(*_best(mode))
-        old = labels.select(*key, F.col("d").alias("d0"), *([F.col("path").alias("path0")] if mode == "paths" else []))
+        new = _reach(front, edges, work)
+        old = labels.select(*key, F.col("d").alias("d0"), *[F.col("path").alias("path0") for _ in work.mid])
         better = F.col("d0").isNull() | (F.col("d") < F.col("d0"))
-        if mode == "paths":
+        if work.mid:
             better = better | ((F.col("d") == F.col("d0")) & (F.col("path") < F.col("path0")))
         front = cut(new.join(old, key, "left").filter(better).select(*labels.columns))
         if front.isEmpty():
             return labels
-        labels = cut(labels.union(front).groupBy(*key).agg(*_best(mode)))
+        labels = cut(labels.union(front).groupBy(*key).agg(*_best(work)))
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -271,12 +208,14 @@ def _components(edges: DataFrame) -> DataFrame:
     edges = edges.select("p", "c")
     found = None
     while True:
-        while True:  # what hangs above loops is no part of them
-            before = edges.count()
+        before = edges.count()
+        while before:  # what hangs above loops is no part of them
             edges = cut(edges.join(edges.select(F.col("c").alias("p")).distinct(), "p", "left_semi"))
             edges = cut(edges.join(edges.select(F.col("p").alias("c")).distinct(), "c", "left_semi"))
-            if edges.count() == before:
+            after = edges.count()
+            if after == before:
                 break
+            before = after
         if not before:
             return found if found is not None else edges.select(F.col("p").alias("node"), F.col("c").alias("src"))
         colour = cut(edges.select(F.col("p").alias("node")).distinct().withColumn("colour", F.col("node")))
@@ -298,22 +237,59 @@ def _components(edges: DataFrame) -> DataFrame:
         edges = cut(edges.join(gone.withColumnRenamed("node", "p"), "p", "left_anti").join(gone.withColumnRenamed("node", "c"), "c", "left_anti"))
 
 
-def _replay(labels: DataFrame, marks: DataFrame, records: list[tuple[DataFrame, int]], mode: str) -> DataFrame:
-    """Undo the contractions, last first. Marks are labels of depth -1 whose source names a loop's component: a spliced
-    node lies on a loop if its parent and its child share one."""
-    paths = mode == "paths"
-    empty = [F.lit(None).cast("array<string>").alias("path")] if paths else []
-    state = cut(labels.union(marks.select("node", "src", F.lit(-1).alias("d"), *empty)))
-    for steps, spliced in reversed(records):
-        links = steps.drop("kind", "x")
-        new = _reach(state.filter("d >= 0"), links, mode).groupBy("node", "src").agg(*_best(mode))
-        if spliced:
+def _replay(labels: DataFrame, marks: DataFrame, records: list[tuple[DataFrame, bool]], work: _Work) -> tuple[DataFrame, DataFrame]:
+    """Undo the contractions, last first: labels (node, src, d) and marks (node, src = a name of its loops), which in between
+    are labels of depth -1. Only the nodes that a round took away get new rows."""
+    any_marks = not marks.isEmpty()
+    no_path = [F.lit(None).cast("array<long>").alias("path") for _ in work.mid]
+    state = cut(labels.union(marks.select("node", "src", F.lit(-1).alias("d"), *no_path)))
+    kind = F.col("kind")
+    for step, spliced in reversed(records):
+        at = state.filter("d >= 0")
+        if work.mode == "descendants":
+            new = _undone_pairs(at, step, spliced, work)
+        else:
+            new = _reach(at, step.filter(kind.isin(RAKED, INTO)).drop("kind"), work).select(*labels.columns)
+        if spliced and any_marks:
             on = state.filter("d < 0").select("node", "src")
-            two = steps.filter(F.col("kind") == SPLICED)
-            above = two.join(on.withColumnRenamed("node", "p"), "p").select("c", "src")
-            below = two.join(on.withColumnRenamed("node", "x"), "x").select("c", "src")
-            new = new.union(above.join(below, ["c", "src"], "left_semi").distinct().select(F.col("c").alias("node"), "src", F.lit(-1).alias("d"), *empty))
+            above = salted_join(step.filter(kind == INTO).select("p", "c"), on.withColumnRenamed("node", "p"), "p", work.children, ["c"]).select(F.col("c").alias("node"), "src")
+            below = salted_join(step.filter(kind == OUT).select("p", "c"), on.withColumnRenamed("node", "c"), "c", work.parents, ["p"]).select(F.col("p").alias("node"), "src")
+            new = new.union(above.join(below, ["node", "src"], "left_semi").distinct().select("node", "src", F.lit(-1).alias("d"), *no_path))
         state = cut(state.union(new))
-    if mode == "descendants":
-        state = state.groupBy("node", "src", (F.col("d") < 0).alias("mark")).agg(F.min("d").alias("d")).select("node", "src", "d")
-    return state
+    return state.filter("d >= 0"), state.filter("d < 0").select("node", "src")
+
+
+def _undone_pairs(at: DataFrame, step: DataFrame, spliced: bool, work: _Work) -> DataFrame:
+    """The pairs (node, src = ancestor) that a round's nodes add: raked ones hang below their parents and those' ancestors,
+    spliced ones stand above their children and what these reach, and below their parents and what reaches these."""
+    kind = F.col("kind")
+
+    def below(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        return _reach(pairs.union(links.select(F.col("p").alias("node"), F.col("p").alias("src"), F.lit(0).alias("d")).distinct()), links, work)
+
+    raked = below(at, step.filter(kind == RAKED).drop("kind"))
+    if not spliced:
+        return raked
+    raked = cut(raked)
+    at = at.union(raked)
+    out = step.filter(kind == OUT).select("p", F.col("c").alias("src"), "w")
+    over = at.join(out, "src").select("node", F.col("p").alias("src"), (F.col("d") + F.col("w")).alias("d")).union(out.select("src", "p", "w"))
+    over = cut(over.groupBy("node", "src").agg(F.min("d").alias("d")))
+    under = below(at.union(over), step.filter(kind == INTO).drop("kind"))
+    return raked.union(over).union(under)
+
+
+def _named(labels: DataFrame, names: DataFrame, work: _Work) -> DataFrame:
+    """The labels with ids in place of numbers. A source may hold most of the rows."""
+    sizes = cut(labels.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    ids = names.select("id", "name")
+    sources = sizes.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("src"), F.col("name").alias("source")), "src")
+    out = salted_join(labels, sources, "src", hubs(sizes, "id", "n", total), ["node"])
+    out = out.join(ids.select(F.col("id").alias("node"), F.col("name").alias("to")), "node")
+    if not work.mid:
+        return out.select(F.col("to").alias("node"), "source", F.col("d").alias("depth"))
+    steps = out.select("node", "src", "to", "source", "d", F.posexplode("path").alias("at", "id")).join(ids, "id")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda s: s["name"])
+    steps = steps.groupBy("node", "src").agg(F.first("to").alias("to"), F.first("source").alias("source"), F.first("d").alias("d"), path.alias("path"))
+    return steps.select(F.col("to").alias("node"), "source", F.col("d").alias("depth"), "path")

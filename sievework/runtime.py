@@ -30,9 +30,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialize ``df`` in the shared checkpoint folder and cut its lineage.
+
+    A checkpoint keeps its plan's estimated size, a product over joins; over rounds that build on each other the estimates
+    double their digits every time until planning does nothing but multiply them. So the rows are taken without it (and
+    without inferred constraints); what is really there shows at the next shuffle.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    there = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(there.queryExecution().toRdd(), there.schema(), False), spark)
 
 
 def count_by(df: DataFrame, col: str) -> dict:
