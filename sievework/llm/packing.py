@@ -2,9 +2,13 @@
 
 Each partition packs its own items by best fit, the largest first. Containers filled to ``nearly_full`` are done. The
 others go up a tree as items: groups of ``fan_in`` partitions pack them together again by best fit, until one group is
-left. After a packing no two containers of a group fit together, so at most one is half empty; each group hands up
-the ``carry`` containers with most room, which bounds every task above the leaves; the rest stay as they are. No item
-is moved more than its container's name.
+left. No item is moved more than its container's name.
+
+What has to go up is bounded without loss. After a packing no two containers of a group fit together, so at most one of
+them is half empty; and two containers can only be merged if one of them is. So there are at most as many mergers as half
+empty containers in all, say ``h`` (one for each leaf at most), and the ``2 h`` roomiest containers of each group, themselves
+included, serve them as well as all would, whatever their fills; the rest stay as they are. A task above the leaves holds
+``2 * fan_in * h`` names.
 
 Defined results: an item above the capacity is split into full containers and a rest, which is packed like an item; null
 and zero sizes take no container and give no row; negative sizes raise an error; items of one id in several rows are
@@ -50,8 +54,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
     return where, fills
 
 
-def pack(df: DataFrame, *, id_col: str, size_col: str, capacity: int, nearly_full: float = 0.995, fan_in: int = 8, carry: int = 4096, chunk: int = 1_000_000) -> DataFrame:
-    """(id_col, part, start, size, container_id) of every part of every item. part counts from 0, start is the part's place in its item."""
+def pack(df: DataFrame, *, id_col: str, size_col: str, capacity: int, nearly_full: float = 0.995, fan_in: int = 8, chunk: int = 1_000_000) -> DataFrame:
+    """(id_col, part, start, size, container_id) of every part of every item. part counts from 0, start is the part's place in its item.
+
+    chunk: a partition of more items is packed in leaves of so many, which the tree brings together like those of partitions.
+    """
     enough = int(np.ceil(capacity * nearly_full))
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("item"), F.col(size_col).cast("long").alias("size")).filter("size <> 0")
@@ -62,19 +69,20 @@ def pack(df: DataFrame, *, id_col: str, size_col: str, capacity: int, nearly_ful
             held.append(pdf)
             count += len(pdf)
             if count >= chunk:
-                out, n = _pack_leaf(pd.concat(held), capacity, enough, (partition << 33) + made)
+                out, n = _pack_leaf(pd.concat(held), capacity, (partition << 33) + made)
                 made, held, count = made + n, [], 0
                 yield out
         if held:
-            yield _pack_leaf(pd.concat(held), capacity, enough, (partition << 33) + made)[0]
+            yield _pack_leaf(pd.concat(held), capacity, (partition << 33) + made)[0]
 
     placed = cut(rows.mapInPandas(leaf, f"item {kind}, part long, start long, size long, bin long, fill long, grp long"))
-    opened = placed.filter(F.col("fill") < enough).select("bin", "fill", "grp").distinct()
+    opened = cut(placed.filter(F.col("fill") < enough).select("bin", "fill", "grp").distinct())
     moves = []
-    groups = placed.rdd.getNumPartitions()
+    leaves = placed.agg(F.max("grp")).first()[0]
+    carry = 2 * opened.filter(F.col("fill") * 2 <= capacity).count()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fill", "bin"], kind="stable").head(fan_in * carry)
+        pdf = pdf.sort_values(["fill", "bin"], kind="stable")
         where, fills = best_fit(pdf["fill"].to_numpy(), capacity)
         # a merged container keeps the name of its fullest part
         order = np.argsort(-pdf["fill"].to_numpy(), kind="stable")
@@ -84,17 +92,18 @@ def pack(df: DataFrame, *, id_col: str, size_col: str, capacity: int, nearly_ful
                 names[where[i]] = pdf["bin"].iat[i]
         out = pd.DataFrame({"bin": pdf["bin"].to_numpy(), "into": names[where], "fill": np.array(fills, np.int64)[where]})
         out["grp"] = int(pdf["grp"].iat[0])
-        keep = out[(out["bin"] == out["into"]) & (out["fill"] < enough)].nsmallest(carry, "fill")["bin"]
-        out["up"] = out["bin"].isin(keep)
+        out["up"] = (out["bin"] == out["into"]) & (out["fill"] < enough)
         return out[out["up"] | (out["bin"] != out["into"])]
 
-    opened = _roomiest(opened, carry)
-    while True:
+    groups = (leaves or 0) + 1
+    while carry:
         groups = -(-groups // fan_in)
+        roomiest = Window.partitionBy("grp").orderBy("fill", "bin")
+        opened = opened.withColumn("place", F.row_number().over(roomiest)).filter(F.col("place") <= carry).drop("place")
         step = cut(opened.withColumn("grp", F.floor(F.col("grp") / fan_in)).groupBy("grp").applyInPandas(merge, "bin long, into long, fill long, grp long, up boolean"))
         moves.append(step.filter("bin <> into").select("bin", "into"))
         opened = step.filter("up").select("bin", "fill", "grp")
-        if groups <= 1:
+        if groups == 1:
             break
     out = placed
     for step in moves:
@@ -102,14 +111,7 @@ def pack(df: DataFrame, *, id_col: str, size_col: str, capacity: int, nearly_ful
     return out.select(F.col("item").alias(id_col), "part", "start", "size", F.col("bin").alias("container_id"))
 
 
-def _roomiest(opened: DataFrame, carry: int) -> DataFrame:
-    """Of each leaf the ``carry`` containers with most room: fills are whole numbers, so a count per fill gives the bound."""
-    per = opened.groupBy("grp", "fill").agg(F.count(F.lit(1)).alias("n"))
-    before = per.withColumn("before", F.sum("n").over(Window.partitionBy("grp").orderBy("fill").rowsBetween(Window.unboundedPreceding, -1)))
-    return opened.join(before.filter(F.coalesce("before", F.lit(0)) < carry).select("grp", "fill"), ["grp", "fill"])
-
-
-def _pack_leaf(pdf: pd.DataFrame, capacity: int, enough: int, base: int) -> tuple[pd.DataFrame, int]:
+def _pack_leaf(pdf: pd.DataFrame, capacity: int, base: int) -> tuple[pd.DataFrame, int]:
     """The leaf's parts with their containers, numbered from ``base``; how many containers there are."""
     size = pdf["size"].to_numpy()
     if (size < 0).any():

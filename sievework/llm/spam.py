@@ -1,14 +1,19 @@
 """Pages of keywords, links or product tags instead of sentences.
 
-Texts are cut into blocks. A block's compression ratio is set against the usual ratio of blocks of its language and
-length (medians over the whole corpus): lists made of few words compress far better than speech. Redundant blocks are
-confirmed by the density of sentence punctuation: a mark counts only if it closes a real sentence, one of several words
-with function words among them, as keyword lists may be strewn with marks. What the house prints itself (divisions,
-contents, tables) has few sentences too; its entries are told by their form and don't count against a page.
-A page is spam if most of its text lies in confirmed blocks.
-
-Defined results: null, empty and blank texts, and those under ``min_words`` words, are never spam; repeated rows are
-judged alike; texts of any length are read whole; an unknown language is measured against all languages' blocks.
+Texts are cut into blocks. Each block is compressed after its page's other blocks (the ``around`` before and after it, as a
+preset dictionary), so that a page which says the same few words over and over shows as redundant however its blocks look
+alone. The ratio of compressed to raw bytes is set against the usual one (medians over all pages of the corpus) of blocks of the
+same length, of pages of about as many blocks, and of the same language. A redundant block is confirmed by the density of
+sentence punctuation: a mark counts if it closes words that begin with a capital, and for extremely redundant blocks, which
+may be strewn with marks, only if it closes as many words as sentences have. Nothing else is asked of the words: there are no
+word lists. A page is spam if most of its text lies in confirmed blocks.
+
+Cited sources (an address in brackets) and addresses are no words of a sentence. Lines that lead by dots to a page number
+are a printed table of contents, which has no sentences either, and don't count.
+
+Defined results: null, empty and blank texts and those without any word are never spam; repeated rows are judged alike; texts
+of any length are read whole; an unknown language, or one with fewer than ``least`` such blocks, is measured against all
+languages' blocks, and rare lengths and pages against all of that length, or against all blocks.
 """
 
 from __future__ import annotations
@@ -23,27 +28,15 @@ from pyspark.sql import functions as F
 
 from sievework.runtime import cut
 
-# Frequent function words of the corpus's languages, without those that advertisements use.
-FUNCTION_WORDS = frozenset(
-    "the of and to in is that it was for on with as be by not this but have has are which before from at an or been will would than there what who their they we i you he she its if so no any every some all may can do does did my "
-    "me am were had these those when where why how because under until upon whether into nor one has must should could "
-    "de des du et est une un en dans que qui pour par sur au aux ce cette ces son sa ses nous vous ils elle il je ne plus avec sans mais ou où sont fut dont si chaque tout depuis entre leur y se d n qu j c s à notre mes chacun "
-    "der die das und ist den dem ein eine einer eines einem einen nicht von zu zum zur mit für auf im am als auch wir ich sie er es ihr dass aber oder wenn wie was wer warum hat haben wird wurde werden sind war bei nach seit vor über unter um aus "
-    "diese dieser dieses jede jeder unsere unser noch schon mehr kommt hilft".split()
-)
 WORD = re.compile(r"[^\W\d_]+")
 #: A mark ends a sentence only before a blank, a closing bracket or quote, or the end; not within numbers and addresses.
-END = re.compile(r"[.!?…]+(?=[\"'”»)\]]*(?:\s|$))")
-# Entries of the house's own papers, each with what a block must hold for it to be looked for:
-#: contents with page numbers, rows of figures, prices of goods, names of a division.
-CONTENTS = re.compile(r"(?m)^[ \t]*\d+\.[ \t][^\n]*?[.… ]{2,}\d+[ \t]*$")
-FIGURES = re.compile(r"(?m)^[^\n|]*\|[ \t]*[\d.,]+[ \t]*\|[^\n]*$")
-PRICE = re.compile(r"\s*[^\W\d_][^\d|]{0,40}?\d+(?:[.,]\d+)? (?:per|pro|par|je|le|la) [^\W\d_]+\.?\s*")
-NAME = re.compile(r"(?:^|(?<=[;\s]))[^\W\d_'’-]{2,}(?:['’-][^\W\d_]+)*, ?[^\W\d_]\.(?=[;\s]|$)")
-UNIT = re.compile(r"\d (?:per|pro|par|je|le|la) ")
-INITIAL = re.compile(r", ?[^\W\d_]\.(?:[;\s]|$)")
-GAP = re.compile(r"\s")
+END = re.compile(r"[.!?…]+[\"'”»)\]]*(?=\s|$)")
+ADDRESS = re.compile(r"\([^()]*//[^()]*\)|(?:https?:)?//\S+|www\.\S+")
+CONTENTS = re.compile(r"(?m)^[^\n]*?([.… ])\1{3,} ?\d+[ \t]*$")
 LEADERS = re.compile(r"([^\w\s])\1{2,}")
+GAP = re.compile(r"\s")
+#: Words that a mark closes: few do for any sentence, more for one of an extremely redundant block.
+SHORT_SENTENCE, SENTENCE = 3, 7
 
 
 def blocks(text: str, size: int) -> Iterator[str]:
@@ -63,32 +56,27 @@ def blocks(text: str, size: int) -> Iterator[str]:
         yield held
 
 
-def house_chars(block: str) -> int:
-    """Characters in entries of the house's own papers."""
-    n = 0
-    if ".." in block or "…" in block or "  " in block:
-        n += sum(len(m[0]) for m in CONTENTS.finditer(block))
-    if "|" in block:
-        n += sum(len(m[0]) for m in FIGURES.finditer(block))
-    if UNIT.search(block):
-        n += sum(len(x) for x in re.split(r"[;\n]", block) if PRICE.fullmatch(x))
-    if INITIAL.search(block):
-        n += sum(len(m[0]) for m in NAME.finditer(block))
-    return n
-
-
-def measure(block: str) -> tuple[int, int, float, int, int, int]:
-    """(bytes, compressed bytes, share of its characters in house entries, words, function words, real sentence ends)."""
-    raw = LEADERS.sub(r"\1", block).encode("utf-8", "replace")
-    ends = words = functions = at = 0
-    for end in (*[m.end() for m in END.finditer(block)], len(block)):
-        w = WORD.findall(block[at:end].lower())
-        f = sum(x in FUNCTION_WORDS for x in w)
-        words, functions = words + len(w), functions + f
-        # what stands behind the last mark is no sentence
-        ends += (end < len(block) or block[end - 1 : end] in ".!?…") and len(w) >= 3 and f >= 1 and f * 8 >= len(w)
-        at = end
-    return len(raw), len(zlib.compress(raw, 6, -15)), min(1.0, house_chars(block) / max(1, len(block.strip()))), words, functions, ends
+def sentences(block: str) -> tuple[int, int, int]:
+    """(words, marks that close a short sentence at least, marks that close a sentence)."""
+    block = ADDRESS.sub(" ", block)
+    short = full = at = 0
+    for m in END.finditer(block):
+        w = WORD.findall(block[at : m.start()])
+        at = m.end()
+        if w and w[0][0].isupper():
+            short, full = short + (len(w) >= SHORT_SENTENCE), full + (len(w) >= SENTENCE)
+    return len(WORD.findall(block)), short, full
+
+
+def measure(text: str, size: int, around: int) -> Iterator[tuple]:
+    """(blocks of the page, characters, bytes, compressed bytes, share in contents lines, words, short sentences, sentences) of each block."""
+    parts = list(blocks(text, size))
+    raw = [LEADERS.sub(r"\1", b).encode("utf-8", "replace") for b in parts]
+    for i, (block, r) in enumerate(zip(parts, raw)):
+        near = b"".join(raw[max(0, i - around) : i] + raw[i + 1 : i + 1 + around])[-32_000:]
+        c = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_DEFAULT_STRATEGY, near) if near else zlib.compressobj(9, zlib.DEFLATED, -15, 9)
+        packed = len(c.compress(r)) + len(c.flush())
+        yield len(parts), len(block), len(r), packed, sum(len(m[0]) for m in CONTENTS.finditer(block)) / len(block), *sentences(block)
 
 
 def language(col: Column) -> Column:
@@ -97,40 +85,44 @@ def language(col: Column) -> Column:
     return F.when(code == "ge", "de").when(code != "", code)
 
 
-def block_features(df: DataFrame, *, id_col: str, text: str, lang: str, size: int = 400) -> DataFrame:
-    """(doc, lang, chars, n_bytes, packed, house, words, function_words, ends) of every block of every text that isn't blank."""
+def block_features(df: DataFrame, *, id_col: str, text: str, lang: str, size: int = 400, around: int = 20) -> DataFrame:
+    """(doc, lang, blocks, chars, n_bytes, packed, contents, words, short_ends, ends) of every block of every text that isn't blank."""
     rows = df.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), language(F.col(lang)).alias("lang")).filter("text is not null and text rlike '\\\\S'")
+    names = ["doc", "lang", "blocks", "chars", "n_bytes", "packed", "contents", "words", "short_ends", "ends"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(d, g, len(b), *measure(b)) for d, t, g in zip(pdf["doc"], pdf["text"], pdf["lang"]) for b in blocks(t.strip(), size)]
-            yield pd.DataFrame(out, columns=["doc", "lang", "chars", "n_bytes", "packed", "house", "words", "function_words", "ends"])
+            yield pd.DataFrame([(d, g, *m) for d, t, g in zip(pdf["doc"], pdf["text"], pdf["lang"]) for m in measure(t.strip(), size, around)], columns=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc {kind}, lang string, chars int, n_bytes int, packed int, house double, words int, function_words int, ends int")
+    return rows.mapInPandas(run, f"doc {kind}, lang string, blocks int, chars int, n_bytes int, packed int, contents double, words int, short_ends int, ends int")
 
 
-def spam_pages(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 400, redundant: float = 1.05, sentence_words: float = 60.0, extreme: float = 0.75, sentence_words_extreme: float = 25.0, function_share: float = 0.14, most: float = 0.5, min_words: int = 12) -> DataFrame:
-    """(id_col, spam_share, redundancy, sentence_density, is_spam) of every text with words.
+def spam_pages(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 400, redundant: float = 0.93, sentence_words: float = 80.0, extreme: float = 0.56, sentence_words_extreme: float = 40.0, most: float = 0.5, least: int = 30) -> DataFrame:
+    """(id_col, spam_share, redundancy, sentence_density, is_spam) of every text that isn't blank.
 
-    redundant: a block is redundant below this part of the usual ratio of its language and length. sentence_words: it is
-    confirmed if it has fewer than one real sentence end in so many words (in sentence_words_extreme words, if its ratio is
-    below ``extreme``: interjections don't save an extremely redundant page) and fewer than function_share function words.
+    A block is redundant below ``redundant`` of the usual ratio, and confirmed if it has fewer than one mark that closes a short
+    sentence in ``sentence_words`` words; below ``extreme`` of it, if it has fewer than one that closes a whole sentence in
+    ``sentence_words_extreme`` words.
     """
-    step = 40
-    feats = cut(block_features(df, id_col=id_col, text=text, lang=lang, size=size).withColumn("bucket", F.least(F.floor(F.col("n_bytes") / step), F.lit(2 * size // step)).cast("int")).withColumn("ratio", F.col("packed") / F.greatest("n_bytes", F.lit(1))))
-    # a table of languages times length steps; languages are two letters
-    usual = feats.groupBy("lang", "bucket").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count(F.lit(1)).alias("n")).filter("lang is not null and n >= 30").drop("n")
-    overall = feats.groupBy("bucket").agg(F.percentile_approx("ratio", 0.5, 1000).alias("overall"))
-    rows = feats.join(F.broadcast(usual), ["lang", "bucket"], "left").join(F.broadcast(overall), "bucket")
-    z = F.col("ratio") / F.coalesce("usual", "overall")
-    few = F.col("ends") * F.when(z < extreme, sentence_words_extreme).otherwise(sentence_words) < F.col("words")
-    bare = F.col("function_words") < function_share * F.col("words")
-    hit = (z < redundant) & few & bare & (F.col("house") < 0.5)
+    feats = block_features(df, id_col=id_col, text=text, lang=lang, size=size)
+    # lengths in steps of a fifth; numbers of blocks in powers of two, single blocks apart
+    step = F.round(4 * F.log2(F.greatest("n_bytes", F.lit(1)).cast("double"))).cast("int")
+    page = F.when(F.col("blocks") == 1, -1).otherwise(F.least(F.round(F.log2(F.col("blocks").cast("double"))), F.lit(5.0)).cast("int"))
+    feats = cut(feats.withColumns({"step": step, "page": page, "ratio": F.col("packed") / F.greatest("n_bytes", F.lit(1))}))
+    # the nearest level that has enough blocks; each is a small table of languages (two letters) and steps
+    each = feats.groupBy("doc", "lang", "step", "page").agg(F.avg("ratio").alias("ratio"))  # a page has one vote, however long
+    rows, levels = feats, [["lang", "step", "page"], ["step", "page"], ["step"]]
+    for i, keys in enumerate(levels):
+        usual = each.filter("lang is not null" if i == 0 else "true").groupBy(*keys).agg(F.percentile_approx("ratio", 0.5, 1000).alias(f"usual{i}"), F.count(F.lit(1)).alias("n"))
+        rows = rows.join(F.broadcast(usual.filter(F.col("n") >= least).drop("n")), keys, "left")
+    rows = rows.crossJoin(F.broadcast(each.agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual3"))))
+    z = F.col("ratio") / F.coalesce(*[f"usual{i}" for i in range(4)])
+    words = F.col("words") + 1
+    hit = (((z < redundant) & (F.col("short_ends") * sentence_words < words)) | ((z < extreme) & (F.col("ends") * sentence_words_extreme < words))) & (F.col("contents") < 0.5)
     per = rows.groupBy("doc").agg(
         (F.sum(F.when(hit, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share"),
         (F.sum(z * F.col("chars")) / F.sum("chars")).alias("redundancy"),
-        (F.sum("ends") / F.greatest(F.sum("words"), F.lit(1))).alias("sentence_density"),
-        F.sum("words").alias("words"),
+        (F.sum("short_ends") / F.greatest(F.sum("words"), F.lit(1))).alias("sentence_density"),
     )
-    return per.select(F.col("doc").alias(id_col), "spam_share", "redundancy", "sentence_density", ((F.col("spam_share") > most) & (F.col("words") >= min_words)).alias("is_spam"))
+    return per.select(F.col("doc").alias(id_col), "spam_share", "redundancy", "sentence_density", (F.col("spam_share") > most).alias("is_spam"))

@@ -2,9 +2,10 @@
 
 Texts are cut into pieces by the vocabulary's pattern; the distinct pieces of a batch are put, by length, into padded
 matrices of byte ids. In each round every row merges its leftmost pair of least rank; the pair is looked up in an open
-hash table of all merges, and rows are compacted by one column. Rows without a pair leave the matrix. Pieces longer than
-the widest matrix (runs of one word without a blank, up to whole texts) merge all places of their least pair in one
-round, which gives the same ids: what a merge makes has a higher rank than the merge itself.
+hash table of all merges, and rows are compacted by one column. Rows without a pair leave the matrix. A piece longer than
+the widest matrix (a run of marks or of one word without a blank, up to a whole text) is a row of its own, which merges all
+places of its least pair in one round if none of the pairs that arise on the way has as low a rank, and else the leftmost
+place only; so the order of merges is the same.
 
 Defined results: null and empty texts give an empty list; texts of any length are encoded whole; lone surrogates, which
 aren't valid text, are encoded as the replacement character; special tokens have no meaning, their spelling is text.
@@ -26,7 +27,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAD = -1
 FAR = np.iinfo(np.int32).max
-WIDEST = 64
+WIDEST = 512
 
 
 class PairTable:
@@ -154,10 +155,19 @@ class Encoder:
             start = np.concatenate(([True], np.diff(at) > 1))
             run = at - np.maximum.accumulate(np.where(start, at, 0))
             at = at[run % 2 == 0]
+            if len(at) > 1 and self._lowest_new(ids, at, least) <= least:
+                at = at[:1]
             ids[at] = least
             ids = np.delete(ids, at + 1)
         return ids
 
+    def _lowest_new(self, ids: np.ndarray, at: np.ndarray, merged: int) -> int:
+        """The least rank of the pairs that a merged id makes with its neighbours, these merged already or not yet."""
+        before, after = at[at > 0] - 1, at[at < len(ids) - 2] + 2
+        left, right = np.concatenate((ids[before], [merged])), np.concatenate((ids[after], [merged]))
+        made = np.full(len(left), merged, ids.dtype), np.full(len(right), merged, ids.dtype)
+        return min(self.table.rank(left, made[0]).min(), self.table.rank(made[1], right).min())
+
 
 def encode_texts(texts: list[str | None], encoder: Encoder, memo: dict[str, np.ndarray], most: int = 300_000) -> list[np.ndarray]:
     """The ids of each text. ``memo`` keeps the ids of up to ``most`` short pieces for the next batch."""

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm.packing import best_fit, pack
 
@@ -36,7 +37,7 @@ def test_all_tokens_placed_once_and_merged_across_partitions(spark):
 
 
 def test_no_pair_fits_anyhow(spark):
-    bins, _ = placed(spark.createDataFrame([(i, 60) for i in range(50)], "id long, n long").repartition(8), carry=2)
+    bins, _ = placed(spark.createDataFrame([(i, 60) for i in range(50)], "id long, n long").repartition(8))
     assert sorted(bins.values()) == [60] * 50
 
 
@@ -50,3 +51,18 @@ def test_nulls_zeros_repeats_empty_and_clashing_names(spark):
 def test_negative_sizes_fail(spark):
     with pytest.raises(Exception, match="negative"):
         pack(spark.createDataFrame([(1, -1)], "id long, n long"), id_col="id", size_col="n", capacity=10).count()
+
+
+def test_a_million_containers_of_one_fill(spark):
+    """No two fit together, so nothing goes up the tree but what a half empty container could need."""
+    df = spark.range(1_000_000).select("id", F.lit(60).cast("long").alias("n"))
+    out = pack(df.union(spark.createDataFrame([(-1, 30), (-2, 35)], "id long, n long")), id_col="id", size_col="n", capacity=100, chunk=100_000)
+    fills = out.groupBy("container_id").agg(F.sum("size").alias("f")).groupBy("f").count().collect()
+    assert {r.f: r["count"] for r in fills} == {60: 999_998, 90: 1, 95: 1}
+
+
+def test_half_empty_containers_of_all_leaves_meet(spark):
+    rows = [(i, 90) for i in range(40)] + [(100 + i, 12) for i in range(8)]
+    bins, _ = placed(spark.createDataFrame(rows, "id long, n long").repartition(8, "id"), fan_in=2, chunk=3)
+    small = [f for f in bins.values() if f < 90]
+    assert sum(bins.values()) == 40 * 90 + 8 * 12 and len(small) == 1 or sum(f <= 50 for f in bins.values()) <= 1
