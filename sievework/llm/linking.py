@@ -7,46 +7,69 @@ key is a match, otherwise the keys that share a deletion with it are compared by
 The nearest wins, then the one met more often in the reference's own use, then the smaller id. Digits have to agree, and
 keys with digits and little else (codes, cell lines) or short ones (acronyms) match exactly or not at all.
 
-Defined results: a null or blank label, and one that nothing is near to, is ``unmatched``; repeated labels get equal
-answers (each distinct label is looked up once); an empty reference leaves all labels unmatched.
+What counts as wording, and which abbreviations stand for which class words, is learned from labels that are resolved
+already (:func:`learn_wording`): no list is built in. Only amounts with their units, and signs after a marker, are told by
+their form.
+
+Lossless: every edit weighs at least 0.8, so a distance of up to 3 means up to 3 edits, and two strings within so many edits
+share what up to so many deletions from the first ``PREFIX`` letters of each leave.
+
+Defined results: a null or blank label, one without a group, and one that nothing is near to, is ``unmatched``; repeated
+labels get equal answers (each distinct label is looked up once); an empty reference leaves all labels unmatched.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNMATCHED = "unmatched"
+from sievework.operators.skew import hot_join
+from sievework.runtime import cut
 
-# Wording that may stand around a name without changing what it means.
-WORDING = {
-    "adult", "fetal", "embryonic", "neonatal", "human", "mouse", "murine", "rat", "primary", "frozen", "fresh", "normal", "healthy", "cultured", "isolated", "whole", "bulk", "left", "right", "biopsy", "biopsies",
-    "sample", "samples", "specimen", "specimens", "patient", "patients", "subject", "subjects", "donor", "donors", "with", "from", "of", "the", "a", "an", "and", "in", "for", "to", "suspected", "confirmed", "probable",
-    "severe", "mild", "moderate", "acute", "chronic", "advanced", "early", "late", "onset", "recurrent", "untreated", "treated", "treatment", "low", "high", "dose", "dosed", "cells", "cell", "line", "lines",
-    "parental", "confluent", "passage", "day", "days", "xenograft", "derived", "culture", "stage", "grade", "post", "pre", "after", "before", "history", "diagnosed", "daily", "twice", "once", "week", "weeks", "hour", "hours",
-}
-# Abbreviations of class words.
-SHORT = {
-    "gl": "gland", "membr": "membrane", "epith": "epithelium", "dz": "disease", "synd": "syndrome", "tx": "therapy", "ther": "therapy", "musc": "muscle", "ctx": "cortex",
-    "gangl": "ganglia", "neopl": "neoplasms", "fibr": "fibrosis", "anem": "anemia", "dystr": "dystrophy", "disord": "disorder", "cmpd": "compound", "cpd": "compound", "inhib": "inhibitor", "hcl": "hydrochloride", 
-    "proc": "procedure", "abl": "ablation", "img": "imaging", "beh": "behavior",
-}
-#: Abbreviations with several meanings; each is tried.
-SEVERAL = {"dis": ("disease", "disorder")}
-#: Wording long enough to be told when it lost its blank or a letter.
-LONG = tuple(sorted((w for w in WORDING if len(w) > 4), key=len, reverse=True))
-#: What may be glued to either end of a name.
-GLUED = re.compile(r"^(?:lowdose|with|highdose|treatedwith|patientwith|patientswith|patientof|earlyonset|lateonset|cellline|" + "|".join(LONG) + r")+(?=.{4}|$)|(?<=.{4})(?:cellline|" + "|".join(LONG) + r")+$")
-MARKER = re.compile(r"\b(?:cd|ly)\d+[a-z]?\s*[+-](?![a-z0-9])|\b(?:cd|ly)\d+[a-z]?(?:high|low|pos|neg)\b")
+UNMATCHED = "unmatched"
+#: The least that an edit weighs.
+SWAP = 0.8
+#: Signs and words that tell a marker's level, after its name of letters and a number.
+MARKER = re.compile(r"\b[a-z]{1,4}\d+[a-z]?\s*[+-](?![a-z0-9])|\b[a-z]{1,4}\d+[a-z]?(?:high|low|pos|neg)\b")
 #: Amounts and times: number and unit.
 AMOUNT = re.compile(r"(?<![a-z0-9])\d+(?:[.,]\d+)?[\s./_-]*(?:mg/kg|ug/kg|mg/ml|ug/ml|ng/ml|mg|ug|ng|kg|ml|ul|um|nm|mm|m|gy|%|h|hr|hrs|hours?|min|d|days?|weeks?|wk)s?\b(?:/(?:kg|ml|day|d))?|\b(?:passage|day|week|p)[\s_-]*\d+\b")
-CODE = re.compile(r"(?=.*\d)")
+
+
+@dataclass
+class Wording:
+    """words: what may stand around a name without changing it; short: abbreviations with the class words they stand for."""
+
+    words: frozenset[str] = frozenset()
+    short: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        long = sorted((w for w in self.words if len(w) > 3), key=lambda w: (-len(w), w))
+        some = "|".join(map(re.escape, long))
+        small = "|".join(map(re.escape, sorted(w for w in self.words if 1 < len(w) <= 3)))
+        # glued to either end of a name; a short word only together with a longer one
+        unit = rf"(?:(?:{small})(?=(?:{some})))?(?:{some})" if small else f"(?:{some})"
+        self.glued = re.compile(rf"^(?:{unit})+(?=.{{4}}|$)|(?<=.{{4}})(?:{unit})+$") if long else None
+        ends = sorted((s for s in self.short if len(s) > 2), key=lambda w: (-len(w), w))
+        self.ended = re.compile(rf"(.{{4,}}?)({'|'.join(map(re.escape, ends))})") if ends else None
+        by_first: dict[str, list[str]] = {}
+        for w in long:
+            if len(w) > 4:
+                by_first.setdefault(w[0], []).append(w)
+        self.near = lru_cache(100_000)(lambda w: len(w) > 4 and any(abs(len(w) - len(x)) < 2 and weighted_distance(w, x, 1) <= 1 for x in by_first.get(w[0], ())))
+
+    def __reduce__(self):
+        return Wording, (self.words, self.short)
 
 
 def fold(text: str) -> str:
@@ -63,37 +86,34 @@ def key(tokens: Iterable[str]) -> str:
     return "".join(tokens)
 
 
-def readings(label: str) -> list[list[str]]:
+def readings(label: str, wording: Wording) -> list[list[str]]:
     """Token lists that the label may stand for, the most literal first."""
     text = fold(label)
-    literal = words(text)
     bare = words(AMOUNT.sub(" ", MARKER.sub(" ", re.sub(r"[_\s]+", " ", text))))
-    out = []
+    out: list[list[str]] = []
 
     def add(tokens: list[str]) -> None:
         if tokens and tokens not in out:
             out.append(tokens)
 
-    add(literal)
+    add(words(text))
     add(bare)
-    for full in SEVERAL["dis"]:
-        spelled = [full if w == "dis" else SHORT.get(w, w) for w in bare]
+    # an abbreviation with several meanings is read each way, all its places alike
+    for n in range(max([1, *(len(wording.short.get(w, ())) for w in bare)])):
+        spelled = [m[min(n, len(m) - 1)] if (m := wording.short.get(w)) else w for w in bare]
         add(spelled)
-        inner = [w for w in spelled if w not in WORDING]
+        inner = [w for w in spelled if w not in wording.words]
         add(inner)
-        add([w for w in inner if len(w) < 5 or not any(abs(len(w) - len(x)) < 2 and w[0] == x[0] and weighted_distance(w, x, 1) <= 1 for x in LONG)])
-        glued = [GLUED.sub("", w) for w in inner]
-        add([w for w in (_unglue(w, full) for w in glued) if w])
+        add([w for w in inner if not wording.near(w)])
+        if wording.glued:
+            inner = [g for w in inner if (g := wording.glued.sub("", w))]
+            add(inner)
+        if wording.ended:
+            for k in range(max([1, *(len(wording.short[m[2]]) for w in inner if (m := wording.ended.fullmatch(w)))])):
+                add([m[1] + wording.short[m[2]][min(k, len(wording.short[m[2]]) - 1)] if (m := wording.ended.fullmatch(w)) else w for w in inner])
     return out
 
 
-def _unglue(word: str, dis: str) -> str:
-    """With a glued abbreviation of a class word at the end spelled out."""
-    if m := re.fullmatch(r"(.{4,}?)(dis|" + "|".join(x for x in SHORT if len(x) > 3) + r")", word):
-        return m[1] + (dis if m[2] == "dis" else SHORT[m[2]])
-    return word
-
-
 def turns(tokens: list[str]) -> list[list[str]]:
     """The tokens, and with the first or the last moved to the other end (inverted names), a type's number staying last."""
     tail = tokens[-2:] if len(tokens) > 2 and tokens[-2] == "type" else []
@@ -113,21 +133,21 @@ def deletions(word: str, edits: int) -> set[str]:
 
 
 def weighted_distance(a: str, b: str, most: float) -> float:
-    """Damerau-Levenshtein, with edits between swapped letters: swapping and doubling or undoubling a letter 0.7, any other edit 1, a changed first letter 0.5 more. Above ``most``: inf."""
+    """Damerau-Levenshtein, where swapping, doubling or undoubling a letter costs 0.8, any other edit 1, a changed first letter 0.5 more. Above ``most``: inf."""
     n, m = len(a), len(b)
-    if abs(n - m) > most / 0.7:
+    if abs(n - m) > most / SWAP:
         return float("inf")
     far = float(n + m + 1)
     d = [[far] * (m + 2) for _ in range(n + 2)]
     d[1][1] = 0.0
     for i in range(1, n + 1):
-        d[i + 1][1] = d[i][1] + (0.7 if i > 1 and a[i - 1] == a[i - 2] else 1.0)
+        d[i + 1][1] = d[i][1] + (SWAP if i > 1 and a[i - 1] == a[i - 2] else 1.0)
     for j in range(1, m + 1):
-        d[1][j + 1] = d[1][j] + (0.7 if j > 1 and b[j - 1] == b[j - 2] else 1.0)
+        d[1][j + 1] = d[1][j] + (SWAP if j > 1 and b[j - 1] == b[j - 2] else 1.0)
     last_row: dict[str, int] = {}
     for i in range(1, n + 1):
         x, last_col, least = a[i - 1], 0, d[i + 1][1]
-        drop = 0.7 if i > 1 and x == a[i - 2] else 1.0
+        drop = SWAP if i > 1 and x == a[i - 2] else 1.0
         row, above = d[i + 1], d[i]
         for j in range(1, m + 1):
             y = b[j - 1]
@@ -135,7 +155,7 @@ def weighted_distance(a: str, b: str, most: float) -> float:
             cost = 0.0 if x == y else 1.0 + 0.5 * (i == 1 and j == 1)
             if x == y:
                 last_col = j
-            row[j + 1] = min(above[j] + cost, row[j] + (0.7 if j > 1 and y == b[j - 2] else 1.0), above[j + 1] + drop, d[i1][j1] + (i - i1 - 1) + 0.7 + (j - j1 - 1))
+            row[j + 1] = min(above[j] + cost, row[j] + (SWAP if j > 1 and y == b[j - 2] else 1.0), above[j + 1] + drop, d[i1][j1] + (i - i1 - 1) + SWAP + (j - j1 - 1))
             least = min(least, row[j + 1])
         last_row[x] = i
         if least > most + 1:
@@ -151,97 +171,161 @@ def allowed(word: str, max_edits: int) -> int:
     return min(max_edits, 1 if letters < 10 else 2 if letters < 14 else 3)
 
 
-def build_index(entries: Iterable[tuple[str, str, str, int]], max_edits: int) -> tuple[dict, dict]:
-    """exact: (group, key) -> (-weight, turned, id), the best of all entries with that key; near: group -> deletion -> keys.
-
-    entries: (name, group, id, weight). Names are filed with their class word (a word that ends many names) last."""
-    exact, near, told = {}, {}, [(group, words(fold(name)), ref, weight) for name, group, ref, weight in entries if name and group and ref]
-    often = {}
-    for _, tokens, _, _ in told:
-        for w in set(tokens):
-            often[w] = often.get(w, 0) + 1
-    for group, tokens, ref, weight in told:
-        for turn in turns(tokens):
-            k, rank = (group, key(turn)), (-weight, turn != tokens, ref)
-            if k not in exact or rank < exact[k]:
-                exact[k] = rank
-        last = min(turns(tokens), key=lambda t: (often[t[0]] if t else 0)) if tokens else tokens
-        word = key(last)
-        for d in deletions(word, allowed(word, max_edits)) if allowed(word, max_edits) else ():
-            at = near.setdefault(group, {}).setdefault(d, [])
-            if word not in at:
-                at.append(word)
-    return exact, near
+def _letters(word: str) -> int:
+    """A bit for each letter that the word holds."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 31)
+    return bits
 
 
 class Dictionary:
-    """Lookups in an index of :func:`build_index`."""
+    """The index of some entries (name, group, id, weight), and lookups in it.
 
-    def __init__(self, exact: dict, near: dict, max_edits: int = 3):
-        self.exact, self.near, self.max_edits = exact, near, max_edits
+    exact: (group, key) -> (-weight, turned, id), the best of all entries with that key. The deletions are a sorted array of
+    hashes (a wrong hit only costs a comparison), each with the place of a key in ``near``: 12 bytes a deletion.
+    """
+
+    def __init__(self, entries: Iterable[tuple[str, str, str, int]], max_edits: int = 3, wording: Wording | None = None):
+        self.max_edits, self.wording = max_edits, wording or Wording()
+        self.exact: dict = {}
+        told = [(group, words(fold(name)), ref, weight) for name, group, ref, weight in entries if name and group and ref]
+        often = Counter(w for _, tokens, _, _ in told for w in set(tokens))
+        near: dict[tuple[str, str], None] = {}
+        for group, tokens, ref, weight in told:
+            for turn in turns(tokens):
+                k, rank = (group, key(turn)), (-weight, turn != tokens, ref)
+                if k not in self.exact or rank < self.exact[k]:
+                    self.exact[k] = rank
+            # filed with their class word (a word that ends many names) last
+            last = key(min(turns(tokens), key=lambda t: (often[t[0]] if t else 0)) if tokens else tokens)
+            if allowed(last, max_edits):
+                near[group, last] = None
+        self.near = list(near)
+        self.letters = [_letters(w) for _, w in self.near]
+        pairs = [(_hash(g, d), i) for i, (g, w) in enumerate(self.near) for d in deletions(w, allowed(w, max_edits))]
+        hashes = np.fromiter((h for h, _ in pairs), np.uint64, len(pairs))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], np.fromiter((i for _, i in pairs), np.int32, len(pairs))[order]
+
+    def candidates(self, word: str, group: str, most: int) -> set[int]:
+        """Places of the keys of ``group`` that share a deletion with ``word``."""
+        at = np.fromiter((_hash(group, d) for d in deletions(word, most)), np.uint64)
+        first, end = np.searchsorted(self.hashes, at, "left"), np.searchsorted(self.hashes, at, "right")
+        return {int(x) for a, b in zip(first, end) if b > a for x in self.places[a:b]}
 
     def best(self, label: str | None, group: str | None) -> tuple[float, int, str] | None:
         """(distance, -weight, id) of the nearest entry."""
-        if not label or not label.strip():
+        if not label or not label.strip() or not group:
             return None
-        forms = [f for tokens in readings(label) for f in (tokens, *([[*tokens[:-1], tokens[-1][:-1]]] if tokens[-1].endswith("s") and len(tokens[-1]) > 2 else []))]
+        forms = [f for tokens in readings(label, self.wording) for f in (tokens, *([[*tokens[:-1], tokens[-1][:-1]]] if tokens[-1].endswith("s") and len(tokens[-1]) > 2 else []))]
         keys = list(dict.fromkeys(key(turn) for form in forms for turn in turns(form)))
         keys += [k[:-1] for k in keys if k.endswith("s") and len(k) > 3 and k[:-1] not in keys]
         for word in keys:
             if hit := self.exact.get((group, word)):
                 return 0.0, hit[0], hit[2]
-        found, near_of, seen = None, self.near.get(group, {}), set()
+        found = None
         for word in keys:
             most = allowed(word, self.max_edits)
-            digits = re.findall(r"\d+", word)
-            for d in deletions(word, most) if most else ():
-                for near in near_of.get(d, ()):
-                    if (word, near) in seen or abs(len(near) - len(word)) > most:
-                        continue
-                    seen.add((word, near))
-                    if re.findall(r"\d+", near) != digits:
-                        continue
-                    dist = weighted_distance(word, near, min(most, allowed(near, self.max_edits)))
-                    hit = self.exact[group, near]
-                    if dist != float("inf") and (found is None or (dist, hit[0], hit[2]) < found):
-                        found = (dist, hit[0], hit[2])
+            if not most:
+                continue
+            digits, letters = re.findall(r"\d+", word), _letters(word)
+            for i in self.candidates(word, group, most):
+                g, near = self.near[i]
+                if g != group or abs(len(near) - len(word)) > most or (letters ^ self.letters[i]).bit_count() > 2 * most or re.findall(r"\d+", near) != digits:
+                    continue
+                dist = weighted_distance(word, near, min(most, allowed(near, self.max_edits)))
+                hit = self.exact[group, near]
+                if dist != float("inf") and (found is None or (dist, hit[0], hit[2]) < found):
+                    found = (dist, hit[0], hit[2])
         return found
 
 
-def link_labels(df: DataFrame, reference: DataFrame, *, label: str, group: str, keep: list[str], max_edits: int = 3, max_entries: int = 100_000, memo: int = 200_000) -> DataFrame:
+def _hash(group: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{group}\x00{text}")
+
+
+def _apart(label: str, names: Iterable[str]) -> tuple[list[str], list[str]] | None:
+    """(tokens of the label that the nearest name hasn't, tokens of that name that the label hasn't)."""
+    tokens, best = words(fold(label)), None
+    for name in names:
+        n = Counter(words(fold(name)))
+        over, miss = list((Counter(tokens) - n).elements()), list((n - Counter(tokens)).elements())
+        if n and (best is None or (len(miss), len(over)) < (len(best[1]), len(best[0]))):
+            best = (over, miss)
+    return best
+
+
+def learn_wording(resolved: DataFrame, reference: DataFrame, *, least: int = 3, one_in: int = 50_000, class_names: int = 10) -> Wording:
+    """Wording and abbreviations that the labels of ``resolved`` (label, grp, ref_id) show against their entries of ``reference``.
+
+    Wording is a word of letters that no reference name holds and that stands beside a whole name in ``least`` distinct labels at
+    least (and in one of ``one_in``, so the list is bounded however many labels there are). An abbreviation stands for a word
+    of ``class_names`` names at least, as the only word that differs, in as many labels and in more than there are names that
+    hold it. All resolved labels count.
+    """
+    names = reference.filter("name is not null").groupBy("grp", F.upper("ref_id").alias("ref")).agg(F.collect_set("name").alias("names"))
+    labels = resolved.filter("label is not null").select("label", "grp", F.upper("ref_id").alias("ref")).distinct().join(names, ["grp", "ref"])
+
+    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [x for lab, of in zip(pdf["label"], pdf["names"]) if (x := _apart(lab, of))]
+            yield pd.DataFrame({"over": [sorted(set(o)) for o, _ in got], "miss": [m for _, m in got]})
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([w for n in pdf["name"] for w in set(words(fold(n)))], columns=["word"])
+
+    apart = cut(labels.mapInPandas(differ, "over array<string>, miss array<string>"))
+    known = cut(reference.filter("name is not null").select("name").distinct().mapInPandas(tokens, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("names")))
+    least = max(least, apart.count() // one_in)
+    extra = apart.filter("size(miss) = 0").select(F.explode("over").alias("word")).filter(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    around = frozenset(r[0] for r in extra.join(known, "word", "left_anti").select("word").collect())
+    over = F.filter("over", lambda w: ~w.isin(list(around))) if around else F.col("over")
+    pairs = apart.filter("size(miss) = 1").select(over.alias("over"), F.col("miss")[0].alias("word")).filter("size(over) = 1").select(F.col("over")[0].alias("short"), "word")
+    pairs = pairs.filter(F.col("short").rlike("^[a-z]+$")).groupBy("short", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    pairs = pairs.join(known.filter(F.col("names") >= class_names).select("word"), "word").join(known.select(F.col("word").alias("short"), "names"), "short", "left")
+    pairs = pairs.filter(F.col("n") > F.coalesce("names", F.lit(0)))
+    short: dict[str, list] = {}
+    for r in pairs.collect():
+        short.setdefault(r["short"], []).append((-r["n"], r["word"]))
+    return Wording(around, {k: tuple(w for _, w in sorted(v)) for k, v in short.items()})
+
+
+def link_labels(df: DataFrame, reference: DataFrame, *, label: str, group: str, keep: list[str], wording: Wording | None = None, max_edits: int = 3, max_entries: int = 50_000) -> DataFrame:
     """``keep`` columns, ref_id and distance for each row of ``df``: the reference entry that ``label`` means within ``group``, or ``unmatched`` (distance null).
 
-    reference: (name, grp, ref_id, weight). It is read in blocks of at most ``max_entries`` names (one block as a rule), each
-    block's index is broadcast and all labels are looked up in it; the best of the blocks' answers stands. Rows aren't
-    shuffled; each task keeps the answers of its last ``memo`` distinct labels.
+    reference: (name, grp, ref_id, weight). Each distinct label is looked up once. The reference is worked through in blocks of
+    about ``max_entries`` names: a block's index is broadcast, all labels are looked up in it, and it is given up before the next
+    one comes, so the driver and each worker hold one block; the best of the blocks' answers stands.
     """
-    spark, width = df.sparkSession, len(keep)
+    spark = df.sparkSession
     names = reference.select(F.col("name").cast("string"), F.col("grp").cast("string"), F.col("ref_id").cast("string"), F.col("weight").cast("long")).filter("name is not null and grp is not null and ref_id is not null").distinct()
     blocks = max(1, -(-names.count() // max_entries))
+    names = cut(names.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks))))
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(label).cast("string").alias("label"), F.col(group).cast("string").alias("grp"))
-    names = names.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)))
+    whole = F.col("label").isNotNull() & F.col("grp").isNotNull()
+    each = rows.filter(whole).groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"))
+    each = cut(each.withColumns({"ref_id": F.lit(None).cast("string"), "distance": F.lit(None).cast("double"), "rank": F.lit(None).cast("long")}))
+    total = each.agg(F.sum("n")).first()[0] or 0
     for b in range(blocks):
-        index = spark.sparkContext.broadcast(build_index((tuple(r) for r in names.filter(F.col("block") == b).drop("block").toLocalIterator()), max_edits))
-        rows = _look_up(rows, index, width, first=b == 0, max_edits=max_edits, memo=memo)
-    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.coalesce("ref_id", F.lit(UNMATCHED)).alias("ref_id"), "distance")
+        index = spark.sparkContext.broadcast(Dictionary((tuple(r) for r in names.filter(F.col("block") == b).drop("block").toLocalIterator()), max_edits, wording))
+        each = cut(_look_up(each.repartition("label"), index))
+        index.destroy()
+    out = hot_join(rows.filter(whole), each.select("label", "grp", "n", "ref_id", "distance"), ["label", "grp"], "n", total)
+    out = out.unionByName(rows.filter(~whole).withColumns({"ref_id": F.lit(None).cast("string"), "distance": F.lit(None).cast("double")}))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.coalesce("ref_id", F.lit(UNMATCHED)).alias("ref_id"), "distance")
 
 
-def _look_up(rows: DataFrame, index, width: int, *, first: bool, max_edits: int, memo: int) -> DataFrame:
+def _look_up(each: DataFrame, index) -> DataFrame:
     """Answers of one block, merged with those of the blocks before."""
-    if first:
-        rows = rows.withColumns({"ref_id": F.lit(None).cast("string"), "distance": F.lit(None).cast("double"), "rank": F.lit(None).cast("long")})
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dictionary, known = Dictionary(*index.value, max_edits), {}
         for pdf in batches:
             out = []
             for lab, grp, ref, dist, rank in zip(pdf["label"], pdf["grp"], pdf["ref_id"], pdf["distance"], pdf["rank"]):
-                if (lab, grp) not in known:
-                    if len(known) >= memo:
-                        known.clear()
-                    known[lab, grp] = dictionary.best(lab, grp)
-                new, old = known[lab, grp], (dist, rank, ref) if isinstance(ref, str) else None
+                new, old = index.value.best(lab, grp), (dist, rank, ref) if isinstance(ref, str) else None
                 out.append(min((x for x in (new, old) if x), default=(None, None, None)))
             yield pdf.assign(ref_id=[x[2] for x in out], distance=pd.Series([x[0] for x in out], index=pdf.index, dtype="float64"), rank=pd.Series([x[1] for x in out], index=pdf.index, dtype="Int64"))
 
-    return rows.mapInPandas(look, rows.schema)
+    return each.mapInPandas(look, each.schema)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import strip
-from sievework.llm.linking import link_labels
+from sievework.llm.linking import learn_wording, link_labels
+from sievework.runtime import cut
 from sievework.sources.tables import table
 
 
@@ -20,9 +21,12 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(res_id, ref_id, distance) of every pending label."""
-    pending = table(spark, sf_dir, "resolutions").filter(F.coalesce(strip("output_id"), F.lit("")) == "").select("res_id", "input_label", "col")
-    return link_labels(pending, reference(spark, sf_dir), label="input_label", group="col", keep=["res_id"])
+    """(res_id, ref_id, distance) of every pending label; wording and abbreviations are those of the resolved ones."""
+    rows, names = table(spark, sf_dir, "resolutions"), cut(reference(spark, sf_dir))
+    given = strip(F.coalesce("output_id", F.lit("")))
+    resolved = rows.filter(given != "").select(F.col("input_label").alias("label"), F.col("col").alias("grp"), given.alias("ref_id"))
+    pending = rows.filter(given == "").select("res_id", "input_label", "col")
+    return link_labels(pending, names, label="input_label", group="col", keep=["res_id"], wording=learn_wording(resolved, names))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from sievework.llm.linking import Dictionary, build_index, deletions, link_labels, weighted_distance
+from sievework.llm.linking import Dictionary, Wording, allowed, deletions, learn_wording, link_labels, readings, weighted_distance
 
 REFERENCE = [
     ("Muscle, Midapalk", "Tissue", "A1", 3),
@@ -17,6 +19,9 @@ REFERENCE = [
 ]
 
 
+WORDING = Wording(frozenset("frozen human left patients treated with mg kg h cells cell sample line low dose".split()), {"dis": ("disease", "disorder")})
+
+
 @pytest.mark.parametrize(
     "label,group,want",
     [
@@ -42,12 +47,12 @@ REFERENCE = [
     ],
 )
 def test_labels(label, group, want):
-    hit = Dictionary(*build_index(REFERENCE, 3)).best(label, group)
+    hit = Dictionary(REFERENCE, 3, WORDING).best(label, group)
     assert (hit and hit[2]) == want
 
 
 def test_distance():
-    assert weighted_distance("abcd", "abdc", 3) == 0.7 and weighted_distance("abcd", "abccd", 3) == 0.7 and weighted_distance("abcd", "abxd", 3) == 1
+    assert weighted_distance("abcd", "abdc", 3) == 0.8 and weighted_distance("abcd", "abccd", 3) == 0.8 and weighted_distance("abcd", "abxd", 3) == 1
     assert weighted_distance("xbcd", "abcd", 3) == 1.5 and weighted_distance("abcd", "wxyz", 2) == float("inf")
 
 
@@ -55,6 +60,40 @@ def test_close_strings_share_a_deletion():
     assert deletions("midapalkmuscle", 2) & deletions("midaplakmuscle", 2) and deletions("xidapalkmuscle", 1) & deletions("midapalkmuscle", 1)
 
 
+WORDS = st.text("abcd", min_size=6, max_size=18)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORDS, st.lists(st.tuples(st.sampled_from("drsi"), st.integers(0, 17), st.sampled_from("abcd")), max_size=4))
+def test_every_pair_within_the_distance_is_found(word, edits):
+    """Deleting, replacing, swapping and inserting letters: whatever is near enough comes out of the index."""
+    other = word
+    for kind, at, c in edits:
+        at = min(at, len(other) - 1)
+        other = {"d": other[:at] + other[at + 1 :], "r": other[:at] + c + other[at + 1 :], "s": other[:at] + other[at : at + 2][::-1] + other[at + 2 :], "i": other[:at] + c + other[at:]}[kind] or c
+    index = Dictionary([(word, "g", "id", 0)])
+    most = min(allowed(word, 3), allowed(other, 3))
+    near = weighted_distance(other, word, most) != float("inf")
+    assert not near or index.best(other, "g") is not None
+
+
+def test_four_swaps_are_more_than_three_edits():
+    assert weighted_distance("abcdefghijklmnop", "badcfehgijklmnop", 3) == float("inf")
+
+
+def test_wording_is_learned_from_resolved_labels(spark):
+    names = [(f"{x}lumo Disease", "C", f"d{x}", 0) for x in "abcdefghijkl"] + [(f"{x}nero Disorder", "C", f"e{x}", 0) for x in "abcdefghijkl"]
+    ref = spark.createDataFrame(names, "name string, grp string, ref_id string, weight long")
+    rows = [(f"severe {x}lumo disease", "C", f"D{x}") for x in "abcd"] + [(f"{x}lumo dz", "C", f"d{x}") for x in "efg"] + [(f"severe {x}nero dz", "C", f"e{x}") for x in "abc"]
+    rows += [("odd alumo disease", "C", "da"), (None, "C", "da"), ("x", None, "da"), ("alumo disease", "C", None)]
+    got = learn_wording(spark.createDataFrame(rows, "label string, grp string, ref_id string"), ref)
+    assert got.words == {"severe"} and got.short == {"dz": ("disease", "disorder")}
+    assert ["hlumo", "disease"] in readings("SEVERE hlumo-dz", got) and ["hlumo", "disorder"] in readings("SEVERE hlumo-dz", got)
+    df = spark.createDataFrame([(1, "severe hlumo dz", "C"), (2, "severehnero disorder", "C")], "id int, label string, grp string")
+    assert {r.id: r.ref_id for r in link_labels(df, ref, label="label", group="grp", keep=["id"], wording=got).collect()} == {1: "dh", 2: "eh"}
+    assert learn_wording(spark.createDataFrame([], "label string, grp string, ref_id string"), ref) == Wording()
+
+
 @pytest.mark.parametrize("max_entries", [1000, 3])
 def test_frame_in_one_block_and_in_several(spark, max_entries):
     ref = spark.createDataFrame([*REFERENCE, (None, "Tissue", "X", 1), ("x", None, "X", 1)], "name string, grp string, ref_id string, weight long")

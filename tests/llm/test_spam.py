@@ -16,7 +16,7 @@ def speech(i):
 
 def name(i):
     rnd = random.Random(i)
-    return "".join(rnd.choice("bcdfgklmnprstvw") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 5))).capitalize()
+    return "".join(rnd.choice("abcdefghijklmnoprstuvwyz") for _ in range(rnd.randrange(5, 12))).capitalize()
 
 
 def flagged(spark, rows):
