@@ -1,12 +1,13 @@
 """Filling of missing values from similar rows: k-prototypes clusters, then the rows' own group.
 
 Rows are clustered on their observed numeric and categorical features (squared scaled difference, plus gamma for each
-category that differs; a missing feature neither brings rows together nor parts them). A missing value is filled from the
-rows of the same group in the same cluster (their mode, or their median), else from the whole group, and the method is
-told. Prototypes are few, so they travel as literals and the assignment stays an expression without a shuffle.
+category that differs; a missing feature neither brings rows together nor parts them). Categories are compared by their
+64-bit hashes, so texts of any length are features. A missing value is filled from the rows of the same group in the same
+cluster (their mode, or their median), else from the whole group, else, for medians, from the whole cluster, and the method
+is told. Prototypes are few, so they travel as literals and the assignment stays an expression without a shuffle.
 
-Defined results: a group without observed values, and a null group key, fills nothing; ties go to the value of more
-samples, then the smaller one; repeated rows of one sample count once; with no rows at all the result is empty.
+Defined results: a null group key fills nothing; a group without observed values fills nothing by modes; ties go to the value
+of more samples, then the smaller one; repeated rows of one sample count once; with no rows at all the result is empty.
 """
 
 from __future__ import annotations
@@ -22,108 +23,110 @@ from sievework.runtime import cut
 
 @dataclass
 class Prototypes:
-    """The centres of the clusters; a cluster's number is its place."""
+    """The centres of the clusters; a cluster's number is its place. numeric: the scale of each numeric feature."""
 
     numeric: dict[str, float]
     gamma: float
     centres: list[dict] = field(default_factory=list)
 
-    def assign(self, columns: dict[str, str] | None = None) -> Column:
-        """The number of a row's nearest centre, the first among equals. columns: where a feature's column has another name."""
+    def assign(self, feature: dict[str, Column]) -> Column:
+        """(d, i): the distance and number of a row's nearest centre, the first among equals, by its features."""
         if not self.centres:
-            return F.lit(0)
+            return F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i"))
 
         def distance(c: dict) -> Column:
             parts = []
             for name, value in c.items():
                 if value is None:
                     continue
-                x = F.col(f"`{(columns or {}).get(name, name)}`")
+                x = feature[name]
                 if name in self.numeric:
-                    parts.append(F.coalesce(F.pow((x.cast("double") - F.lit(value)) / F.lit(self.numeric[name]), F.lit(2.0)), F.lit(0.0)))
+                    parts.append(F.coalesce(F.pow((x - F.lit(float(value))) / F.lit(self.numeric[name]), F.lit(2.0)), F.lit(0.0)))
                 else:
-                    parts.append(F.when(x.isNull() | (x.cast("string") == F.lit(value)), 0.0).otherwise(self.gamma))
+                    parts.append(F.when(x.isNull() | (x == F.lit(value)), 0.0).otherwise(self.gamma))
             return sum(parts, F.lit(0.0))
 
-        return F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]))["i"]
-
-
-def k_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], *, k: int = 8, iterations: int = 2, gamma: float = 1.0, longest: int = 1000) -> Prototypes:
-    """Centres of ``df``'s rows. The start is the ``k`` most frequent combinations of features; each round moves the centres
-    to the weighted mean and modes of their rows. Only the centres (``k`` rows) come to the driver. A category of more than
-    ``longest`` characters counts as missing here."""
-    at = {c: f"f{i}" for i, c in enumerate([*numeric, *categorical])}
-    features = [F.col(c).cast("double").alias(at[c]) for c in numeric] + [F.when(F.length(F.col(c).cast("string")) <= longest, F.col(c).cast("string")).alias(at[c]) for c in categorical]
-    points = cut(df.select(*features).groupBy(*at.values()).agg(F.count(F.lit(1)).alias("weight")))
-    scales = points.agg(*[F.stddev_pop(at[c]).alias(at[c]) for c in numeric]).first() if numeric else {}
-    out = Prototypes({c: (scales[at[c]] or 1.0) for c in numeric}, gamma)
-    out.centres = [{c: r[at[c]] for c in at} for r in points.orderBy(F.desc("weight"), *at.values()).limit(k).collect()]
-    for _ in range(iterations):
-        placed = points.withColumn("cluster", out.assign(at))
-        means = {r["cluster"]: r for r in placed.groupBy("cluster").agg(*[(F.sum(F.col(at[c]) * F.col("weight")) / F.sum(F.when(F.col(at[c]).isNotNull(), F.col("weight")))).alias(at[c]) for c in numeric], F.count(F.lit(1)).alias("rows")).collect()}
-        modes = {}
-        if categorical:
-            cells = placed.select("cluster", "weight", F.posexplode(F.array(*[at[c] for c in categorical])).alias("at", "value")).filter("value is not null").groupBy("cluster", "at", "value").agg(F.sum("weight").alias("n"))
-            best = cells.groupBy("cluster", "at").agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("value"))
-            modes = {(r["cluster"], r["at"]): r["value"] for r in best.collect()}
-        new = [{**{c: means[i][at[c]] for c in numeric}, **{c: modes.get((i, j)) for j, c in enumerate(categorical)}} if i in means else centre for i, centre in enumerate(out.centres)]
-        if new == out.centres:
+        return F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]))
+
+
+def _features(numeric: list[str], categorical: list[str]) -> dict[str, Column]:
+    out = {f"n{i}": F.col(c).cast("double") for i, c in enumerate(numeric)}
+    return out | {f"c{i}": F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string"))) for i, c in enumerate(categorical)}
+
+
+def k_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], *, k: int = 12, gamma: float = 1.0, tolerance: float = 0.03) -> Prototypes:
+    """Centres of ``df``'s rows. The start is the ``k`` most frequent combinations of features; rounds move the centres to the
+    weighted mean and modes of their rows until that makes the rows' distances less than ``tolerance`` smaller. Only the
+    centres (``k`` rows) come to the driver."""
+    feature = _features(numeric, categorical)
+    points = cut(df.select(*[f.alias(n) for n, f in feature.items()]).groupBy(*feature).agg(F.count(F.lit(1)).alias("weight")))
+    nums, cats = [n for n in feature if n[0] == "n"], [n for n in feature if n[0] == "c"]
+    scales = points.agg(*[F.stddev_pop(n).alias(n) for n in nums]).first() if nums else {}
+    out = Prototypes({n: (scales[n] or 1.0) for n in nums}, gamma)
+    out.centres = [{n: r[n] for n in feature} for r in points.orderBy(F.desc("weight"), *feature).limit(k).collect()]
+    # one row for each feature and one for the distance: a category is counted by value, a number summed
+    cell = lambda at, value, x: F.struct(F.lit(at).alias("at"), value.cast("long").alias("value"), x.cast("double").alias("x"))
+    none = F.lit(None)
+    cell = F.array(*[cell(n, none, F.col(n)) for n in nums], *[cell(n, F.col(n), F.lit(0)) for n in cats], cell("d", none, F.col("near.d")))
+    cost = float("inf")
+    while out.centres:
+        near = points.select(out.assign({n: F.col(n) for n in feature}).alias("near"), "weight", *feature)
+        cells = near.select(F.col("near.i").alias("cluster"), "weight", F.inline(cell))
+        sums = cells.filter("x is not null and (value is not null or at not like 'c%')").groupBy("cluster", "at", "value").agg(F.sum("weight").alias("n"), F.sum(F.col("x") * F.col("weight")).alias("x"))
+        best = {(r["cluster"], r["at"]): r["b"] for r in sums.groupBy("cluster", "at").agg(F.min(F.struct((-F.col("n")).alias("n"), "value", "x")).alias("b")).collect()}
+        now = sum(b["x"] for (_, at), b in best.items() if at == "d")
+        if now >= cost * (1 - tolerance):
             break
-        out.centres = new
+        cost, held = now, {c for c, _ in best}
+        middle = lambda i, n: None if (i, n) not in best else best[i, n]["x"] / -best[i, n]["n"] if n in nums else best[i, n]["value"]
+        out.centres = [{n: middle(i, n) for n in feature} if i in held else c for i, c in enumerate(out.centres)]
     return out
 
 
-def fill_from_similar(df: DataFrame, *, id_col: str, target: str, group: list[str], sample: str | None = None, numeric: list[str] = (), categorical: list[str] = (), median: bool = False, min_samples: int = 1, min_share: float = 0.0, confirm: bool = False, k: int = 8, iterations: int = 2) -> DataFrame:
-    """(id_col, value, method, samples, share) of every row whose ``target`` is null and that could be filled.
+def fill_from_similar(df: DataFrame, *, id_col: str, target: str, group: list[str], sample: str | None = None, numeric: list[str] = (), categorical: list[str] = (), median: bool = False, k: int = 12) -> DataFrame:
+    """(id_col, value, method, samples, agree, group_value, group_samples, group_agree) of every row whose ``target`` is null and that could be filled.
 
     ``group``: the columns in which a donor must agree (the parent level). ``sample``: what counts as one vote (the row by
-    default). method is ``cluster_mode`` / ``cluster_median`` or, by fallback, ``group_mode`` / ``group_median``. A level's
-    mode counts only if at least ``min_samples`` samples have a value there and at least ``min_share`` of them agree on it.
-    ``confirm``: a cluster's mode must be the mode that its whole group settles by the same rule, else the group decides.
+    default). value comes from the row's cluster within its group (method ``cluster_mode`` / ``cluster_median``), by fallback
+    from its group (``group_mode`` / ``group_median``) or, for medians, from its cluster over all groups (``similar_median``);
+    samples have a value there, and agree of them have this one (null for medians). The group's own are told beside it.
     """
     numeric, categorical = list(numeric), list(categorical)
-    centres = k_prototypes(df, numeric, categorical, k=k, iterations=iterations)
+    centres = k_prototypes(df, numeric, categorical, k=k)
     names = [f"g{i}" for i in range(len(group))]
-    rows = df.select(F.col(id_col).alias("rid"), F.col(target).alias("value"), (F.col(sample) if sample else F.col(id_col)).alias("sample"), centres.assign().alias("cluster"), *[F.col(c).alias(g) for c, g in zip(group, names)])
+    rows = df.select(F.col(id_col).alias("rid"), F.col(target).alias("value"), (F.col(sample) if sample else F.col(id_col)).alias("sample"), centres.assign(_features(numeric, categorical))["i"].alias("cluster"), *[F.col(c).alias(g) for c, g in zip(group, names)])
     rows = cut(rows.filter(" and ".join(f"{g} is not null" for g in names)))
     missing = rows.filter("value is null").select("rid", "cluster", *names)
-    levels = _medians(rows, names) if median else _modes(rows, names, min_samples, min_share)
-    need = missing.groupBy(*names).agg(F.count(F.lit(1)).alias("need"))
-    total = missing.count()
-    (cluster, parent) = levels
-    parent = parent.join(need, names)
-    cluster = cluster.join(missing.groupBy(*names, "cluster").agg(F.count(F.lit(1)).alias("need")), [*names, "cluster"])
-    got = hot_join(missing, cut(cluster.select(*names, "cluster", F.struct("value", "samples", "share").alias("c"), "need")), [*names, "cluster"], "need", total, how="left")
-    got = hot_join(got, cut(parent.select(*names, F.struct("value", "samples", "share").alias("p"), "need")), names, "need", total, how="left")
-    ok = F.col("c").isNotNull()
-    if confirm:
-        ok = ok & F.col("p").isNotNull() & (F.col("c.value") == F.col("p.value"))
+    keys = [*names, "cluster"]
+    if median:
+        level = lambda by: _medians(rows, by)
+    else:
+        votes = cut(rows.filter("value is not null").select(*keys, "value", "sample").distinct())
+        level = lambda by: _modes(votes, by)
+    need = cut(missing.groupBy(*keys).agg(F.count(F.lit(1)).alias("need")))
+    total = need.agg(F.sum("need")).first()[0] or 0
+    fill = F.struct("value", "samples", "agree")
+    near = cut(level(keys).join(need, keys).select(*keys, fill.alias("c"), "need"))
+    parent = cut(level(names).join(need.groupBy(*names).agg(F.sum("need").alias("need")), names).select(*names, fill.alias("p"), "need"))
+    got = hot_join(hot_join(missing, near, keys, "need", total, how="left"), parent, names, "need", total, how="left")
     what = "median" if median else "mode"
-    pick = F.when(ok, F.col("c")).otherwise(F.col("p"))
-    out = got.select("rid", pick.alias("x"), F.when(ok, f"cluster_{what}").otherwise(f"group_{what}").alias("method")).filter("x is not null")
-    return out.select(F.col("rid").alias(id_col), "x.value", "method", "x.samples", "x.share")
+    pick, method = F.coalesce("c", "p"), F.when(F.col("c").isNotNull(), f"cluster_{what}").otherwise(f"group_{what}")
+    if median:  # k rows
+        got = got.join(F.broadcast(level(["cluster"]).select("cluster", fill.alias("s"))), "cluster", "left")
+        pick, method = F.coalesce("c", "p", "s"), F.when(F.coalesce("c", "p").isNull(), "similar_median").otherwise(method)
+    out = got.select("rid", pick.alias("x"), method.alias("method"), "p").filter("x is not null")
+    return out.select(F.col("rid").alias(id_col), "x.value", "method", "x.samples", "x.agree", *[F.col(f"p.{c}").alias(f"group_{c}") for c in ("value", "samples", "agree")])
 
 
-def _modes(rows: DataFrame, names: list[str], min_samples: int, min_share: float) -> tuple[DataFrame, DataFrame]:
-    """The value that most samples of a (group, cluster), and of a group, agree on. Samples are made distinct before they are counted, so a large group is spread over its samples."""
-    votes = cut(rows.filter("value is not null").select(*names, "cluster", "value", "sample").distinct())
+def _modes(votes: DataFrame, keys: list[str]) -> DataFrame:
+    """The value that most samples agree on. Samples are made distinct before they are counted, so a large group is spread over its samples."""
+    each = votes.select(*keys, "value", "sample").distinct().groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    top = each.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top"))
+    size = votes.select(*keys, "sample").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    return top.join(size, keys).select(*keys, F.col("top.value").alias("value"), "samples", (-F.col("top.n")).alias("agree"))
 
-    def level(keys: list[str]) -> DataFrame:
-        each = votes.select(*keys, "value", "sample").distinct().groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-        top = each.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top"))
-        size = votes.select(*keys, "sample").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
-        out = top.join(size, keys).select(*keys, F.col("top.value").alias("value"), "samples", (-F.col("top.n") / F.col("samples")).alias("share"), (-F.col("top.n")).alias("n"))
-        # whole numbers, so that a share of exactly min_share passes
-        return out.filter((F.col("samples") >= min_samples) & (F.col("n") * 100 >= F.col("samples") * round(min_share * 100))).drop("n")
 
-    return level([*names, "cluster"]), level(names)
-
-
-def _medians(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Exact medians over value counts (few distinct values stand for many rows)."""
-
-    def level(keys: list[str]) -> DataFrame:
-        each = rows.filter("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-        return each.groupBy(*keys).agg(F.expr("percentile(cast(value as double), 0.5, n)").alias("value"), F.sum("n").alias("samples")).withColumn("share", F.lit(None).cast("double"))
-
-    return level([*names, "cluster"]), level(names)
+    each = rows.filter("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*keys).agg(F.expr("percentile(cast(value as double), 0.5, n)").alias("value"), F.sum("n").alias("samples")).withColumn("agree", F.lit(None).cast("long"))

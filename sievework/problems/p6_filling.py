@@ -23,9 +23,13 @@ def known(col: str) -> Column:
     return F.when((letters != "") & ~letters.isin(NOTHING), value)
 
 
-def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "gsm_phase_results").select("pr_id", "gse", "gsm", "field", known("p1b_value").alias("p1b"), known("p1_value").alias("p1"), known("p2_value").alias("p2"))
-    return fill_from_similar(rows, id_col="pr_id", target="p1b", group=["gse", "field"], sample="gsm", categorical=["field", "p1", "p2"], min_samples=3, min_share=0.8, confirm=True)
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "gsm_phase_results").select("pr_id", "gse", "gsm", "field", known("p1b_value").alias("p1b"), known("p1_value").alias("p1"), known("p2_value").alias("p2"))
+
+
+def _by_sample(rows: DataFrame) -> DataFrame:
+    """Fills of p1b from rows of the same study, field and cluster (what the other phases said), or of the study and field."""
+    return fill_from_similar(rows, id_col="pr_id", target="p1b", group=["gse", "field"], sample="gsm", categorical=["field", "p1", "p2"])
 
 
 def _aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,21 +44,44 @@ def _aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("agg_id", "gse", "field", "n_total", ns.alias("ns"), dist.alias("dist")).withColumn("told", told)
 
 
+def _by_study(rows: DataFrame) -> DataFrame:
+    """Fills of ns (agg_id, value, exact, method): what the row's own counts leave of n_total, corrected by what similar rows
+    show of the difference between the two, in the median."""
+    rows = rows.withColumn("left", F.col("n_total") - F.col("told")).filter("left is not null")
+    fills = fill_from_similar(rows.withColumn("off", F.col("ns") - F.col("left")), id_col="agg_id", target="off", group=["gse", "field"], numeric=["n_total", "left"], categorical=["field"], median=True)
+    return rows.select("agg_id", "left").join(fills, "agg_id").select("agg_id", (F.col("left") + F.round("value").cast("long")).alias("value"), F.col("left").alias("exact"), "method")
+
+
 def p6_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, rec, fill, method) of every gap that similar rows could fill. method ``derived``: the row's own other column settles it."""
-    values = _values(spark, sf_dir).select(F.lit("p1b_value").alias("src"), F.col("pr_id").alias("rec"), F.col("value").alias("fill"), "method")
+    """(src, rec, fill, method, settled) of every gap that similar rows could fill. settled: an exact check of the stated case holds:
+    at least 3 samples of the study and field have a value and 80 in 100 agree on this one; the counts and n_ns make up n_total;
+    a row of the same study, field, n_total and n_ns has this text. Where the cluster's value fails the first check, the
+    group's is taken (``group_mode``) if it passes."""
+    v = _by_sample(_rows(spark, sf_dir))
+    # whole numbers, so that a share of exactly 80 in 100 passes
+    agreed = (F.col("group_samples") >= 3) & (F.col("group_agree") * 100 >= F.col("group_samples") * 80)
+    same = F.col("value") == F.col("group_value")
+    values = v.select(F.lit("p1b_value").alias("src"), F.col("pr_id").alias("rec"), F.when(agreed, F.col("group_value")).otherwise(F.col("value")).alias("fill"), F.when(agreed & ~same, "group_mode").otherwise(F.col("method")).alias("method"), agreed.alias("settled"))
     rows = _aggregates(spark, sf_dir)
-    similar = fill_from_similar(rows, id_col="agg_id", target="ns", group=["gse", "field"], numeric=["n_total"], categorical=["field"], median=True)
-    # exact check: the row's own counts settle n_ns, and overrule the median of similar rows
-    gaps = rows.filter("ns is null").select("agg_id", (F.col("n_total") - F.col("told")).alias("exact")).join(similar, "agg_id", "left")
-    ns = gaps.select(F.lit("n_ns").alias("src"), F.col("agg_id").alias("rec"), F.coalesce(F.col("exact").cast("string"), F.col("value").cast("long").cast("string")).alias("fill"), F.when(F.col("exact").isNotNull(), "derived").otherwise(F.col("method")).alias("method")).filter("fill is not null")
-    known_ns = rows.filter("ns is not null")
-    dist = fill_from_similar(known_ns, id_col="agg_id", target="dist", group=["gse", "field", "n_total", "ns"], numeric=["n_total", "ns"], categorical=["gse", "field"])
-    return values.union(ns).union(dist.select(F.lit("value_dist").alias("src"), F.col("agg_id").alias("rec"), F.col("value").alias("fill"), "method"))
+    ns = _by_study(rows).select(F.lit("n_ns").alias("src"), F.col("agg_id").alias("rec"), F.col("value").cast("string").alias("fill"), "method", (F.col("value") == F.col("exact")).alias("settled"))
+    dist = fill_from_similar(rows.filter("ns is not null"), id_col="agg_id", target="dist", group=["gse", "field", "n_total", "ns"], numeric=["n_total", "ns"], categorical=["gse", "field"])
+    return values.union(ns).union(dist.select(F.lit("value_dist").alias("src"), F.col("agg_id").alias("rec"), F.col("value").alias("fill"), "method", F.lit(True).alias("settled")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_fills(spark, sf_dir).filter("src <> 'n_ns' or method = 'derived'").select("src", "rec", "fill").distinct()
+    return p6_fills(spark, sf_dir).filter("settled").select("src", "rec", "fill").distinct()
+
+
+def p6_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, method, hidden, right): a tenth of the known values, drawn by a hash of their rows' ids, is hidden and filled again by what is left."""
+    held = lambda c: F.pmod(F.xxhash64(c), F.lit(10)) == 0
+    rows = _rows(spark, sf_dir)
+    fills = _by_sample(rows.withColumn("p1b", F.when(~held("pr_id"), F.col("p1b")))).select("pr_id", "value", "method")
+    a = rows.filter(held("pr_id") & F.col("p1b").isNotNull()).join(fills, "pr_id", "left").select(F.lit("p1b_value").alias("src"), F.coalesce("method", F.lit("none")).alias("method"), (F.col("value") == F.col("p1b")).alias("ok"))
+    aggs = _aggregates(spark, sf_dir)
+    again = _by_study(aggs.withColumn("ns", F.when(~held("agg_id"), F.col("ns")))).select("agg_id", "value", "method")
+    b = aggs.filter(held("agg_id") & F.col("ns").isNotNull() & F.col("told").isNotNull()).join(again, "agg_id", "left").select(F.lit("n_ns"), F.coalesce("method", F.lit("none")), F.col("value") == F.col("ns"))
+    return a.union(b).groupBy("src", "method").agg(F.count(F.lit(1)).alias("hidden"), F.count_if("ok").alias("right"))
 
 
 _NOTHING = ", ".join(f"'{x}'" for x in NOTHING)
@@ -74,4 +101,4 @@ union all select 'n_ns', agg_id, cast(n_total - cast(coalesce(told, 0) as bigint
 union all select 'value_dist', agg_id, d.dist from b join d using (gse, field, n_total, ns) where b.dist is null
 """,
 }
-QUERIES = {"p6_found": p6_found, "p6_fills": p6_fills}
+QUERIES = {"p6_found": p6_found, "p6_fills": p6_fills, "p6_accuracy": p6_accuracy}
