@@ -8,7 +8,7 @@ before a separator or the end fails its alternative, and parsing backtracks to t
     item   <- blank* (quoted / key ':' blank* quoted / bare)? blank*
     quoted <- '"' ('""' / !'"' .)* '"' &end  /  "'" ("''" / !"'" .)* "'" &end
     end    <- blank* (separator / end of field)
-    bare   <- (!separator .)*
+    bare   <- (!separator .)*                             (up to the next sign of one, white space off)
 
 Regular expressions with ordered alternation are such grammars where no rule nests, so each rule is
 one compiled pattern applied at a position; nothing is scanned twice but what a failed quote covers.
@@ -27,34 +27,35 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Dialect:
-    """separator, blank: patterns (a separator includes the white space around it); keyed: values may be ``key: value``;
-    listed: the whole field may be bracketed or quoted, and quotes are always taken off."""
+    """separator: pattern of a separator with the white space around it; sign: what of it can't be missing, to find the next one
+    in one pass; keyed: values may be ``key: value``; listed: the whole field may be bracketed or quoted, and quotes are always
+    taken off."""
 
     separator: str
+    sign: str
     keyed: bool
     listed: bool
 
 
 #: ``key: value`` lists. A comma, a single slash between non-blanks and a blank belong to the value.
-CHARACTERISTICS = Dialect(r"\s*(?:[;|]|//)\s*|\s*\s/\s\s*|\s*[\t\n\r\f\v\x85\u2028\u2029]\s*", True, False)
+CHARACTERISTICS = Dialect(r"\s*(?:[;|]|//)\s*|\s*\s/\s\s*|\s*[\t\n\r\f\v\x85\u2028\u2029]\s*", r"[;|\t\n\r\f\v\x85\u2028\u2029]|//|(?<=\s)/(?=\s)", True, False)
 #: Lists of identifiers, which hold no blanks or punctuation but the hyphen and the underscore.
-IDENTIFIERS = Dialect(r"\s*[;,|/+&]\s*|\s+", False, True)
+IDENTIFIERS = Dialect(r"\s*[;,|/+&]\s*|\s+", r"[;,|/+&\s]", False, True)
+#: Brackets that may enclose a whole field.
+BRACKETS = {"[": "]", "(": ")", "{": "}"}
 
 
 class Grammar:
     def __init__(self, dialect: Dialect):
         self.dialect = dialect
-        self.separator = re.compile(dialect.separator)
+        self.separator, self.sign = re.compile(dialect.separator), re.compile(dialect.sign)
         end = rf"(?=(?:{dialect.separator})|\s*\Z)"
         self.quoted = re.compile(rf"""\s*(?:"(?P<double>(?:""|[^"])*)"|'(?P<single>(?:''|[^'])*)'){end}""", re.DOTALL)
         self.key = re.compile(r"""\s*(?P<key>[^:"'\r\n\t;|]+:[^\S\r\n\t]*)""")
-        self.bare = re.compile(rf"(?:(?!{dialect.separator}).)*", re.DOTALL)
 
     def items(self, text: str) -> Iterator[tuple[int, str, str | None]]:
         """(place from 1, value, error) of each value that isn't empty; error ``unclosed_quote`` if a value starts with a quote that doesn't enclose it."""
-        text = text.strip()
-        if self.dialect.listed:
-            text = self._unwrap(text)
+        text = self._field(text) if self.dialect.listed else text.strip()
         at, pos = 0, 1
         while at <= len(text):
             value, at, error = self._item(text, at)
@@ -65,29 +66,36 @@ class Grammar:
                 break
             at, pos = sep.end(), pos + 1
 
+    def _field(self, text: str) -> str:
+        """The list inside ``bracketed / quoted_field / list``, each alternative holding a field again."""
+        first, last = 0, len(text)
+        while True:
+            while first < last and text[first].isspace():
+                first += 1
+            while first < last and text[last - 1].isspace():
+                last -= 1
+            if last - first < 2:
+                break
+            a, b = text[first], text[last - 1]
+            if BRACKETS.get(a) != b and not (a == b and a in "\"'" and text.find(a, first + 1, last - 1) < 0):
+                break
+            first, last = first + 1, last - 1
+        return text[first:last]
+
     def _item(self, text: str, at: int) -> tuple[str, int, str | None]:
         if m := self.quoted.match(text, at):
             return self._inside(m).strip(), m.end(), None
         if self.dialect.keyed and (k := self.key.match(text, at)) and (m := self.quoted.match(text, k.end())):
             return (k["key"] + self._inside(m)).strip(), m.end(), None
-        m = self.bare.match(text, at)
-        value = m[0].strip()
-        return value, m.end(), "unclosed_quote" if value[:1] in ('"', "'") else None
+        m = self.sign.search(text, at)
+        value = text[at : m.start() if m else len(text)].rstrip()
+        end, value = at + len(value), value.lstrip()
+        return value, end, "unclosed_quote" if value[:1] in ('"', "'") else None
 
     @staticmethod
     def _inside(m: re.Match) -> str:
         return m["double"].replace('""', '"') if m["double"] is not None else m["single"].replace("''", "'")
 
-    def _unwrap(self, text: str) -> str:
-        """Without the brackets of a list, and without one pair of quotes around the whole field if no such quote is inside."""
-        while len(text) > 1:
-            first, last, inner = text[0], text[-1], text[1:-1]
-            if first + last in ("[]", "()", "{}") or first == last and first in "\"'" and first not in inner:
-                text = inner.strip()
-            else:
-                break
-        return text
-
 
 def split_packed(df: DataFrame, value: Column | str, keep: list[str], dialect: Dialect) -> DataFrame:
     """One row (``keep`` columns, n_values, pos, val, error) for each value of the field ``value``.

@@ -50,3 +50,15 @@ def test_frame_with_nulls_long_fields_repeats_and_clashing_names(spark):
     out = got.collect()
     assert len(out) == 4 + 20_000 and sorted((r.packed, r.pos, r.val) for r in out if r.packed == 1) == [(1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (1, 2, "b")]
     assert split_packed(df.limit(0), "text", ["packed"], CHARACTERISTICS).count() == 0
+
+
+def test_a_megabyte_of_blanks_or_brackets_is_read_in_one_pass():
+    import time
+
+    began = time.time()
+    n = 1_000_000
+    assert [v for _, v, _ in Grammar(CHARACTERISTICS).items("a: b" + " " * n + "c")] == ["a: b" + " " * n + "c"]
+    assert [v for _, v, _ in Grammar(CHARACTERISTICS).items("a: b" + " " * n + "; c")] == ["a: b", "c"]
+    assert [v for _, v, _ in Grammar(IDENTIFIERS).items("[" * n + "X1, X2" + "]" * n)] == ["X1", "X2"]
+    assert [v for _, v, _ in Grammar(IDENTIFIERS).items("X1" + " " * n + "X2")] == ["X1", "X2"]
+    assert time.time() - began < 4
