@@ -1,89 +1,88 @@
-"""Definitions of abbreviations in running text: letters of the short form matched right to left in the words before it.
-
-Own code after the published method of Schwartz and Hearst (2003). Plain functions for one text, and frame operators
-that call them once per distinct text.
+"""Definitions of abbreviations in running text, as Schwartz and Hearst (2003) define them: the short form's letters stand in
+the words beside it in their order, the first one beginning a word, and the expansion is the shortest such stretch. One
+pattern is compiled for each short form. Plain functions for one text, and frame operators that call them for each text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-WORDS = re.compile(r"[A-Za-z0-9][A-Za-z0-9'/-]*")
-PARENTHESIS = re.compile(r"\(([^()]{1,120})\)")
-HEAD = re.compile(r"^([A-Za-z0-9][A-Za-z0-9'\-/]*)\s*(?:[;,:–—-]|$)")
+WORD = r"[A-Za-z0-9][A-Za-z0-9'/-]*"
+BRACKET = re.compile(r"\(([^()]{1,120})\)")
+#: Little words that may lead to an expansion without being part of it.
+LEADING = {"the", "a", "an", "of", "in", "with", "from", "and", "for", "to"}
 
 
 def shaped(token: str) -> bool:
-    """2 to 10 characters from a letter on, no blank, all letters but one at most capitals, two at least."""
+    """A short form: a letter and up to nine more characters without a blank, capitals but for one letter at most, two capitals at least."""
     token = token.strip()
-    letters = [c for c in token if c.isalpha()]
-    return 2 <= len(token) <= 10 and token[0].isalpha() and " " not in token and sum(c.isupper() for c in letters) >= max(2, len(letters) - 1)
-
-
-def longest_expansion(short: str) -> int:
-    """Words that an expansion of ``short`` may have."""
-    n = sum(c.isalnum() for c in short)
-    return min(n + 5, 2 * n + 2)
+    if not re.fullmatch(r"[^\W\d_]\S{1,9}", token):
+        return False
+    small = sum(c.isalpha() and not c.isupper() for c in token)
+    return small <= 1 and sum(c.isupper() for c in token) >= 2
+
+
+@lru_cache(10_000)
+def _spelling(short: str) -> tuple[re.Pattern, int] | None:
+    """The pattern of texts that end in an expansion, and how many words it may have by the paper: the letters in order, the first one
+    beginning a word; the greedy lead makes the expansion as short as can be."""
+    letters = [re.escape(c) for c in short.lower() if c.isalnum()]
+    if not letters:
+        return None
+    return re.compile(r"(?s)(?:.*[ \-/])?(" + ".*".join(letters) + ".*)"), min(len(letters) + 5, 2 * len(letters) + 2)
 
 
-def align(short: str, words: list[str]) -> str | None:
-    """The part of ``words`` that spells ``short``: its letters in order, the first one beginning a word; as far right as possible."""
-    letters = [c for c in short.lower() if c.isalnum()]
-    text = " ".join(words)
-    low, at = text.lower(), len(text)
-    for i in range(len(letters) - 1, -1, -1):
-        at = low.rfind(letters[i], 0, at)
-        while i == 0 and at > 0 and low[at - 1] not in " -/":
-            at = low.rfind(letters[0], 0, at)
-        if at < 0:
-            return None
-    span = text[at:].strip(" -/,;:") if letters else ""
-    return span if span and len(span.split()) <= longest_expansion(short) else None
+def spelled(short: str, words: list[str]) -> str | None:
+    """The last of ``words`` that spell ``short``, joined; null if none do, or too many."""
+    if not (rule := _spelling(short)):
+        return None
+    text = " ".join(words[-rule[1] :])
+    m = rule[0].fullmatch(text.lower())
+    return text[m.start(1) :].strip(" -/,;:") or None if m else None
 
 
-def _tidy(span: str) -> str:
-    span = re.sub(r"\s+", " ", span).strip(" -/,;:.")
-    return re.sub(r"(?i)^(?:the|a|an|of|in|with|from|and|for|to)\s+", "", span)
+def _pairs(text: str) -> Iterator[tuple[str, list[str], str | None]]:
+    """(possible short form, words that may spell it, the whole expansion if those do) around every pair of brackets: its head with
+    the words before it, and the word before it with those inside."""
+    for m in BRACKET.finditer(text):
+        before, inner = re.findall(WORD, text[: m.start()]), m[1].strip()
+        if not before:
+            continue
+        if head := re.match(rf"({WORD})\s*(?:[;,:–—-]|$)", inner):
+            yield head[1], before, None
+        inside, rule = re.findall(WORD, inner), _spelling(before[-1])
+        if rule and 0 < len(inside) <= rule[1]:
+            yield before[-1], inside, inner
 
 
-def _same(a: str, b: str) -> bool:
-    return a.lower().rstrip("s") == b.lower().rstrip("s")
+def _plain(span: str) -> str:
+    """Without doubled blanks, marks around it and a leading little word."""
+    words = span.strip(" -/,;:.").split()
+    return " ".join(words[1:] if len(words) > 1 and words[0].lower() in LEADING else words)
 
 
 def find_definition(short: str | None, text: str | None) -> str | None:
-    """The expansion of ``short`` that ``text`` defines, as ``long form (SHORT)`` or ``SHORT (long form)``; the first one."""
+    """The expansion of ``short`` that ``text`` defines, as ``long form (SHORT)`` or ``SHORT (long form)``; the first one. A plural s doesn't count."""
     if not short or not text or not shaped(short):
         return None
     short = short.strip()
-    for m in PARENTHESIS.finditer(text):
-        inner, before = m[1].strip(), WORDS.findall(text[: m.start()])
-        head = HEAD.match(inner)
-        if head and _same(head[1], short):
-            span = align(short, before[-longest_expansion(short) :]) if before else None
-            if span:
-                return _tidy(span)
-        elif before and _same(before[-1], short):
-            words = WORDS.findall(inner)
-            if words and len(words) <= longest_expansion(short) and align(short, words):
-                return _tidy(inner)
+    for name, words, whole in _pairs(text):
+        if name.lower().rstrip("s") == short.lower().rstrip("s") and (span := spelled(short, words)):
+            return _plain(whole or span)
     return None
 
 
 def harvest_definitions(text: str | None) -> list[tuple[str, str]]:
     """All (short form, expansion) pairs that a text defines, each short form once."""
-    out: dict[str, str] = {}
-    for m in PARENTHESIS.finditer(text or ""):
-        head, before = HEAD.match(m[1].strip()), WORDS.findall((text or "")[: m.start()])
-        for short in (head[1] if head else "", before[-1] if before else ""):
-            if short and shaped(short) and short not in out and (found := find_definition(short, text)):
-                out[short] = found
-    return list(out.items())
+    names = dict.fromkeys(name for name, _, _ in _pairs(text or "") if shaped(name))
+    return [(name, span) for name in names if (span := find_definition(name, text))]
 
 
 @F.pandas_udf(StringType())
@@ -116,15 +115,17 @@ def disambiguate(words_of: dict[str, list[str]], text: Column) -> Column:
 
 
 def study_summary(title: Column, summary: Column, design: Column, limit: int = 512) -> Column:
-    """Sentences of the three texts in their order until ``limit`` characters are reached; a single too long one is clipped."""
-    text = F.concat_ws(" ", *[F.when(F.trim(c) != "", F.trim(c)) for c in (title, summary, design)])
-    sentences = F.filter(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?])\s+"), lambda s: s != "")
-    joined = F.aggregate(
-        sentences,
-        F.struct(F.lit("").alias("t"), F.lit(False).alias("full")),
-        lambda a, s: F.when(
-            ~a["full"] & (F.length(a["t"]) + F.length(s) + 1 <= limit),
-            F.struct(F.trim(F.concat_ws(" ", a["t"], s)).alias("t"), F.lit(False).alias("full")),
-        ).otherwise(F.struct(a["t"].alias("t"), F.lit(True).alias("full"))),
-    )["t"]
-    return F.when(joined == "", F.substring(text, 1, limit)).otherwise(joined)
+    """``Title: ...`` and the summary's sentences, in their order, as long as whole ones fit into ``limit`` characters, then as much of
+    the design as there is room for. Null parts count as empty."""
+    t, s, d = (F.trim(F.coalesce(c, F.lit(""))) for c in (title, summary, design))
+    head = F.when(t != "", F.concat(F.lit("Title: "), t)).otherwise("")
+    sentences = F.filter(F.transform(F.split(s, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    # each sentence with the length up to its end; the first that doesn't fit ends the list
+    ends = F.aggregate(sentences, F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.length(head) + 2) + F.length(x) + 1))
+    fit = F.size(F.filter(ends, lambda e: e <= limit))
+    used = F.coalesce(F.get(ends, fit - 1), F.length(head) + 2)
+    body = F.array_join(F.slice(sentences, 1, fit), " ")
+    room = F.lit(limit) - used - 10
+    body = F.when((d != "") & (used + 16 < limit), F.concat(body, F.lit(" Design: "), F.substr(d, F.lit(1), room))).otherwise(body)
+    out = F.trim(F.concat_ws(". ", F.when(head != "", head), F.when(body != "", body)))
+    return F.when(F.length(out) > limit, F.concat(F.rtrim(F.substring(out, 1, limit - 1)), F.lit("…"))).otherwise(out)

@@ -39,17 +39,17 @@ def wilson_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study_level_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro and macro agreement by field with the studies' sizes: median (upper), largest, share of the ten largest, perfect studies."""
     per = _scored(spark, sf_dir).groupBy("field", "gse").agg(F.count_if(F.col("verdict").isin("TP", "TN")).alias("ok"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("field")
-    ranked = per.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("n"), "gse")), "studies": F.count(F.lit(1)).over(w)})
-    return ranked.groupBy("field").agg(
-        F.max("studies").alias("studies"),
-        F.round(F.sum("ok") / F.sum("n"), 6).alias("micro"),
-        F.round(F.avg(F.col("ok") / F.col("n")), 6).alias("macro"),
-        F.max(F.when(F.col("rn") == F.floor(F.col("studies") / 2) + 1, F.col("n"))).alias("median_n"),
-        F.max("n").alias("largest_n"),
-        F.round(F.sum(F.when(F.col("rn") <= 10, F.col("n"))) / F.sum("n"), 6).alias("top10_share"),
-        F.count_if(F.col("ok") == F.col("n")).alias("perfect"),
-    )
+    # sizes are counted, so a field's studies never meet in one task: the upper median and the ten largest come from the counts
+    sizes = per.groupBy("field", "n").agg(F.count(F.lit(1)).alias("c"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "c")))
+    before = F.aggregate("sizes", F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x["c"]))
+    known = sizes.groupBy("field").agg(order.alias("sizes"), F.sum("c").alias("studies")).withColumn("before", before)
+    middle = F.floor(F.col("studies") / 2)
+    at = F.filter("sizes", lambda x, i: (F.get(F.col("before"), i) <= middle) & (middle < F.get(F.col("before"), i + 1)))[0]["m"]
+    ten = F.aggregate(F.transform("sizes", lambda x, i: -x["m"] * F.greatest(F.least(x["c"], F.lit(10) - F.get(F.col("before"), i)), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = per.groupBy("field").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"), F.round(F.avg(F.col("ok") / F.col("n")), 6).alias("macro"), F.max("n").alias("largest_n"), F.count_if(F.col("ok") == F.col("n")).alias("perfect"))
+    out = sums.join(known, "field")
+    return out.select("field", "studies", F.round(F.col("ok") / F.col("n"), 6).alias("micro"), "macro", (-at).alias("median_n"), "largest_n", F.round(ten / F.col("n"), 6).alias("top10_share"), "perfect")
 
 
 def concept_level_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,13 +192,7 @@ def grounding_audit_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routing_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How answers came about (source) by field: rows, distinct labels, and of those with an exact vocabulary name."""
-    names = table(spark, sf_dir, "vocab").select(canonicalize(F.col("term")).alias("canon")).distinct()
-    return _routing(table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).withColumn("canon", canonicalize(F.col("input_label"))), names)
-
-
-def routing_decomposition_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`routing_decomposition`, over every row; a label without a canonical form has no exact name."""
+    """How answers came about (source) by field: rows, distinct labels, and of those with an exact vocabulary name; a label without a canonical form has none."""
     names = table(spark, sf_dir, "vocab").select(canonicalize(plain_space("term")).alias("canon")).filter("canon <> ''").distinct()
     return _routing(table(spark, sf_dir, "resolutions").withColumn("canon", canonicalize(plain_space("input_label"))), names)
 
@@ -223,12 +217,7 @@ def topk_examples_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[\t\n\r -~]+\z")).select(F.col("input_label").alias("raw")).distinct()
-    return rows.select("raw", safe_name(F.col("raw")).alias("safe"), line_safe(F.col("raw")).alias("line"))
-
-
-def export_safe_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`export_safe_names`, for every label whatever its characters."""
+    """Names for folders and lines, of every label whatever its characters."""
     rows = table(spark, sf_dir, "resolutions").filter("input_label is not null").select(F.col("input_label").alias("raw")).distinct()
     return rows.select("raw", safe_name(F.col("raw")).alias("safe"), line_safe(F.col("raw")).alias("line"))
 
@@ -239,11 +228,12 @@ _IN = lambda n: ", ".join("'" + x + "'" for x in SETS[n])
 _WLO = "round(greatest(0.0, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6)"
 _WHI = "round(least(1.0, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6)"
 _FOLDK = r"regexp_replace(lower(trim({0}, ' ')), '[\s\-_.]+', '', 'g')"
+_U = lambda roots: rf"(^|[^a-z])({roots})\.?s?([^a-z]|$)"
 _JV = r"lower(regexp_replace(verdict, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
 QUERIES = {f.__name__: f for f in (
     verdict_prf_by_field, wilson_by_field, study_level_macro, concept_level_macro, cluster_bootstrap_ci, error_partition, context_recovery, missing_value_census, populated_rate_preflight, judge_rates, multi_label_precision,
     integrity_screen_sex, sex_values, fast_sex_age, age_composition, age_part_columns, kv_characteristics, dose_extract_strip, treatment_span_counts, condition_control_split, qualifier_census, verbatim_guard, grounding_audit_2x2,
-    routing_decomposition, baseline_coverage, topk_examples_per_class, export_safe_names, routing_decomposition_all, export_safe_names_all,
+    routing_decomposition, baseline_coverage, topk_examples_per_class, export_safe_names,
 )}
 from sievework.plans.dictionary import canon_sql  # noqa: E402
 
@@ -264,13 +254,20 @@ select field, k bad, n decided, {_WLO} low, {_WHI} high, round(b / a, 6) lower_b
     "multi_label_precision": r"""with r as (select distinct gsm, coalesce(final_sex, '') sex, len(list_filter(list_transform(string_split(coalesce(final_condition, ''), ';'), lambda s: trim(s, ' ')), lambda s: s <> '' and s <> 'Not Specified')) labels,
  len(list_filter(list_transform(string_split(replace(regexp_replace(coalesce(final_condition_id, ''), '[|/+&\s]+', ';', 'g'), ',', ';'), ';'), lambda s: trim(s, ' ')), lambda s: s <> '')) ids from sex_vs_condition_flagged where gsm is not null)
 select sex, count(*) n_rows, cast(sum(labels) as bigint) labels, cast(sum(least(labels, ids)) as bigint) with_id, count(*) filter (where labels = ids) complete from r group by 1""",
+    "age_composition": rf"""with v as (select lower(trim(regexp_replace(coalesce(p1b_value, ''), '(?i)^\s*age\s*:\s*', ''), ' ')) v from gsm_phase_results where field = 'Age'),
+c as (select case when v in ({_IN('final')}) then 'not_specified' when not regexp_matches(v, '[0-9]') then 'descriptor'
+ when regexp_matches(v, 'passage|\bp\d+\b|time\s*point|timepoint|\bcycle\b|batch|barcode|\bdpi\b|\bhpi\b|post[-\s]?(infection|treatment|transplant|surgery)|\bstage\b|\bgrade\b|\bscore\b|%|\bdose\b|\bgy\b|\bnm\b|\bum\b|\bmg\b|\bml\b')
+  or regexp_matches(v, '{_U("hour|hr")}') or regexp_matches(v, '{_U("minute|min")}') then 'non_age'
+ when cast(regexp_extract(v, '\d+(\.\d+)?') as double) * case when regexp_matches(v, '{_U("year|yr|y")}') then 1.0 when regexp_matches(v, '{_U("month|mo")}') then 1.0 / 12 when regexp_matches(v, '{_U("week|wk")}') then 1.0 / 52 when regexp_matches(v, '{_U("day")}') then 1.0 / 365 else 1.0 end > 120 then 'implausible'
+ else 'chronological' end "class" from v)
+select "class", count(*) n, round(count(*) / sum(count(*)) over (), 6) share from c group by 1""",
     "kv_characteristics": r"select lower(trim(split_part(s, ':', 1), ' ')) k, lower(trim(regexp_replace(s, '^[^:]*:', ''), ' ')) v, count(*) n from (select unnest(string_split(replace(replace(characteristics, chr(9), ';'), chr(10), ';'), ';')) s from gsm_context) where contains(s, ':') group by 1, 2",
     "treatment_span_counts": r"select lower(v) v, count(*) n from (select unnest(list_filter(list_transform(regexp_split_to_array(p2_value, ';\s*|\s+\+\s+'), lambda s: trim(s, ' ')), lambda s: s <> '' and s <> 'Not Specified')) v from gsm_phase_results where field = 'Treatment') group by 1",
     "grounding_audit_2x2": "with c as (select gsm, min(lower(title)) t, min(lower(source_name)) s from gsm_context where gsm is not null group by 1) select coalesce(contains(t, v), false) in_title, coalesce(contains(s, v), false) in_source, count(*) n from (select gsm, lower(trim(p1b_value, ' ')) v from gsm_phase_results where field = 'Tissue') join c using (gsm) where v <> '' group by 1, 2",
-    "routing_decomposition": f"with v as (select distinct {canon_sql('term')} canon from vocab), r as (select col, source, input_label, {canon_sql('input_label')} canon from resolutions where regexp_matches(input_label, '^[ -~]+$')) select col, source, count(*) n_rows, count(distinct input_label) labels, count(distinct case when v.canon is not null then input_label end) exact from r left join v on r.canon = v.canon group by 1, 2",
+    "routing_decomposition": f"with v as (select distinct {canon_sql('term', whole=True)} canon from vocab), r as (select col, source, input_label, {canon_sql('input_label', whole=True)} canon from resolutions) select col, source, count(*) n_rows, count(distinct input_label) labels, count(distinct case when v.canon is not null then input_label end) exact from r left join v on r.canon = v.canon and v.canon <> '' group by 1, 2",
     "baseline_coverage": "with v as (select distinct lower(trim(term, ' ')) k from vocab union select lower(trim(name, ' ')) from cell_lines) select col, count(*) n, count(v.k) exact, count(*) filter (where trim(output_id, ' ') <> '') resolved from (select col, lower(trim(input_label, ' ')) k, output_id from resolutions) r left join v on r.k = v.k group by 1",
     "topk_examples_per_class": f"select field, v, item, instances, row_number() over (partition by field, v order by instances desc, item) rn from (select distinct field, {_JV} v, item, instances from t5_shard1_judge) where field is not null and v is not null and instances is not null qualify rn <= 3",
-    "export_safe_names": r"select distinct input_label raw, regexp_replace(regexp_replace(input_label, '[^A-Za-z0-9_.-]', '_', 'g'), '^_+|_+$', '', 'g') safe, trim(regexp_replace(input_label, '[\r\n\t]+', ' ', 'g'), ' ') line from resolutions where regexp_matches(input_label, '^[\t\n\r -~]+$')",
+    "export_safe_names": r"select distinct input_label raw, regexp_replace(regexp_replace(input_label, '[^A-Za-z0-9_.-]', '_', 'g'), '^_+|_+$', '', 'g') safe, trim(regexp_replace(input_label, '[\r\n\t]+', ' ', 'g'), ' ') line from resolutions where input_label is not null",
     "sex_values": r"""with r as (select coalesce(p1_value, '') raw, count(*) n from gsm_phase_results where field = 'Sex' group by 1), s as (select *, lower(trim(regexp_replace(trim(raw, ' '), '^(?i)(sex|gender)\s*[:=]\s*', ''), ' ')) s, lower(trim(raw, ' ')) in ('', 'not specified') ns from r),
 m as (select *, regexp_matches(s, '\bmale\b|\bman\b|\bm\b|♂') m, regexp_matches(s, '\bfemale\b|\bwoman\b|\bf\b|♀') f from s)
 select raw, n, case when ns or s = '' or regexp_matches(s, '^\d+$') then 'Not Specified' when s in ('male', 'm', 'man', '♂') then 'Male' when s in ('female', 'f', 'woman', '♀') then 'Female' when s in ('mixed', 'pooled', 'pool', 'both') then 'Mixed' when s in ('unknown', 'na', 'n/a', 'none', '-', '?') then 'Not Specified' when m and f then 'Mixed' when m then 'Male' when f then 'Female' else 'Not Specified' end "value",

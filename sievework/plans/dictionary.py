@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.labels import blocking_key, canonicalize, fold_key, id_type, identifier_shaped, is_junk, mint_id, short_form, short_form_alnum, spans, surface_shape
+from sievework.functions.labels import GREEK, blocking_key, canonicalize, fold_key, id_type, identifier_shaped, is_junk, mint_id, short_form, short_form_alnum, spans, surface_shape
 from sievework.functions.missing import is_missing
 from sievework.functions.text import plain_space
 from sievework.operators.dictionary import apply_dictionary, build_dictionary, first_in_order, fold_canon, mint, short_form_slots, stage, value_spans
@@ -81,12 +81,7 @@ def dictionary_apply_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mint_oov_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "resolutions").filter(F.col("input_label").isNotNull() & F.col("input_label").rlike(r"^[ -~]+\z"))
-    return rows.select("col", F.col("input_label").alias("raw")).distinct().withColumn("ref_id", mint_id(F.col("col"), F.col("raw")))
-
-
-def mint_oov_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`mint_oov_ids`, for every label whatever its characters."""
+    """The id minted for each label, whatever its characters."""
     rows = table(spark, sf_dir, "resolutions").filter("input_label is not null")
     return rows.select("col", F.col("input_label").alias("raw")).distinct().withColumn("ref_id", mint_id(F.col("col"), plain_space("raw")))
 
@@ -150,12 +145,7 @@ def junk_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).select(F.col("input_label").alias("raw")).distinct()
-    return rows.withColumn("canon", canonicalize(F.col("raw")))
-
-
-def canonical_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`canonical_values`, for every label whatever its characters."""
+    """The canonical form of each label, whatever its characters."""
     rows = table(spark, sf_dir, "resolutions").filter("input_label is not null").select(F.col("input_label").alias("raw")).distinct()
     return rows.withColumn("canon", canonicalize(plain_space("raw")))
 
@@ -168,12 +158,7 @@ def id_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identical_input_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of labels with one canonical form, and how many of them got several ids, by field."""
-    return _consistency(table(spark, sf_dir, "resolutions").filter(F.col("input_label").rlike(r"^[ -~]+\z")).withColumn("canon", canonicalize(F.col("input_label"))))
-
-
-def identical_input_consistency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`identical_input_consistency`, for every label whatever its characters; one without a canonical form is alike to none."""
+    """Groups of labels with one canonical form, and how many of them got several ids, by field; a label without a canonical form is alike to none."""
     return _consistency(table(spark, sf_dir, "resolutions").withColumn("canon", canonicalize(plain_space("input_label"))).filter("canon <> ''"))
 
 
@@ -186,9 +171,21 @@ def _consistency(rows: DataFrame) -> DataFrame:
 _FILLER = "'tissue','tissues','sample','samples','specimen','specimens','derived','from','obtained','isolated','purified','sorted','primary','fresh','frozen','ffpe','biopsy','biopsies','total','whole','human','mouse','rat','patient','patients','donor','donors','subject','subjects','adult','na','unknown'"
 
 
-def canon_sql(x: str) -> str:
-    """The canonical form in SQL, for ASCII text."""
-    s = f"lower(trim(coalesce({x}, '')))"
+#: White space that RE2's class doesn't hold, and surrounding white space of any kind.
+_WIDE = r"[\t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ROUND = rf"^[ \t\n\v\f\r\x1c-\x1f\x{{85}}\p{{Z}}]+|[ \t\n\v\f\r\x1c-\x1f\x{{85}}\p{{Z}}]+$"
+
+
+def plain_sql(x: str) -> str:
+    """Without surrounding white space, inner white space other than blanks as tabs."""
+    return f"regexp_replace(regexp_replace({x}, '{_ROUND}', '', 'g'), '{_WIDE}', chr(9), 'g')"
+
+
+def canon_sql(x: str, whole: bool = False) -> str:
+    """The canonical form in SQL; whole: of text of any characters."""
+    s = f"lower(trim(coalesce({plain_sql(x) if whole else x}, '')))"
+    for g, a in GREEK.items() if whole else ():
+        s = f"replace({s}, '{g}', '{a}')"
     for p in (r"\b(gsm|gse|srs|srr|srx|prjna)\d+\b", r"\bn\s*=\s*\d+\b", r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", r"\b(rep(licate)?|donor|subject|patient|sample)[ _-]?\d+\b", r"[^a-z0-9%+\- ]+", r"\s+", r"\bcell\s+lines?\b"):
         s = f"regexp_replace({s}, '{p}', ' ', 'g')"
     w = f"list_filter(string_split({s}, ' '), lambda w: w <> '')"
@@ -222,7 +219,6 @@ _FOLD = r"regexp_replace(lower(trim(output_name, ' ')), '[\s\-_.]+', '', 'g')"
 QUERIES = {f.__name__: f for f in (
     value_dictionary_counts, value_dictionary_by_part, label_dictionary_unsplit, shortform_slots_by_study, corpus_load_first_seen, deterministic_staging, minted_dictionary, stage_shares, dictionary_apply_back, mint_oov_ids,
     casefold_oov, casefold_effect, oov_consolidation_stats, blocking_key_groups, label_collapse_ratio, resolution_latest, dominant_value_share, value_shapes, junk_values, canonical_values, id_types, identical_input_consistency,
-    mint_oov_ids_all, canonical_values_all, identical_input_consistency_all,
 )}
 ORACLES = {
     "value_dictionary_counts": _DICT,
@@ -236,7 +232,7 @@ select r.field, r.raw, count(*) n, arg_min(gse, pr_id) first_gse, count(distinct
     "minted_dictionary": _MINTED,
     "stage_shares": f"select col, stage, count(*) n_values, cast(sum(n) as bigint) instances, round(sum(n) / sum(sum(n)) over (partition by col), 6) share from ({_STAGED}) group by 1, 2",
     "dictionary_apply_back": f"select v.col, ref_id, count(*) n, count(distinct gsm) samples from ({_SPANS}) v left join ({_MINTED}) d on v.col = d.col and v.raw = d.raw group by 1, 2",
-    "mint_oov_ids": f"select distinct col, input_label raw, {MINT_SQL.replace('COL', 'col').replace('RAW', 'input_label')} ref_id from resolutions where regexp_matches(input_label, '^[ -~]+$')",
+    "mint_oov_ids": f"select distinct col, input_label raw, {MINT_SQL.replace('COL', 'col').replace('RAW', plain_sql('input_label'))} ref_id from resolutions where input_label is not null",
     "casefold_oov": f"""with r as (select col, {_FOLD} k, output_id ref_id, output_name label from resolutions where {_OOV}),
 i as (select col, k, ref_id from r group by 1, 2, 3 qualify row_number() over (partition by col, k order by count(*) desc, ref_id) = 1),
 l as (select col, k, label from r group by 1, 2, 3 qualify row_number() over (partition by col, k order by count(*) desc, label) = 1)
@@ -250,13 +246,12 @@ select col, k, ref_id, label from i join l using (col, k)""",
 w as (select *, sum(n) over (partition by col, label) total, count(*) over (partition by col, label) ids, row_number() over (partition by col, label order by n desc, ref_id) rn from r)
 select col, label, ref_id, ids, cast(total as bigint) total, round(n / total, 6) share from w where ids > 1 and rn = 1 and label is not null""",
     "value_shapes": rf"""with v as (select trim(acronym, ' ') v from acronym_all union all select name from cell_lines), w as (select v, trim(v, ' ') t from v where v is not null and v <> '')
-select case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9]{{1,4}}$') and regexp_matches(t, '[A-Z0-9]') then 'short_form' when {_IDENT.replace("X", "t")} then 'identifier' when regexp_matches(t, '\d') then 'with_digits' when regexp_matches(t, '[,;()/]') then 'composite'
- when len(list_filter(string_split(t, ' '), lambda x: x <> '')) > 5 then 'phrase' else 'term' end shape, count(*) n, count(*) filter (where {_SHORT.replace("raw", "v")}) capitals,
+select case when regexp_matches(v, '[^\x00-\x7f]') then 'non_ascii' when contains(v, '_') then 'underscore' when regexp_matches(v, '^[\s\v\x1c-\x1f]|[\s\v\x1c-\x1f]$|  ') then 'odd_blanks' when upper(v) <> lower(v) and v = upper(v) then 'all_capitals' when upper(v) <> lower(v) and v = lower(v) then 'all_lower_case' else 'plain' end shape, count(*) n, count(*) filter (where {_SHORT.replace("raw", "v")}) capitals,
  count(*) filter (where regexp_matches(t, '^[A-Za-z][A-Za-z0-9]{{1,4}}$') and regexp_matches(t, '[A-Z0-9]')) alnum, count(*) filter (where {_IDENT.replace("X", "t")}) identifiers from w group by 1""",
     "junk_values": f"select raw, n from (select p1b_value raw, count(*) n, {canon_sql('p1b_value')} canon from gsm_phase_results where p1b_value is not null group by 1) where {junk_sql('canon', 'raw')}",
-    "canonical_values": f"select distinct input_label raw, {canon_sql('input_label')} canon from resolutions where regexp_matches(input_label, '^[ -~]+$')",
+    "canonical_values": f"select distinct input_label raw, {canon_sql('input_label', whole=True)} canon from resolutions where input_label is not null",
     "id_types": r"""with r as (select col field, output_id i from resolutions union all select field, assigned_id from t5_shard1_judge),
 x as (select field, list_filter(list_transform(string_split(regexp_replace(coalesce(i, ''), ',', ';', 'g'), ';'), lambda s: trim(s, ' ')), lambda s: s <> '') p from r where field is not null)
 select field, case when len(list_filter(p, lambda s: regexp_matches(s, '^[DC]\d'))) > 0 then 'mesh' when len(list_filter(p, lambda s: s like 'CVCL\_%' escape '\')) > 0 then 'cellosaurus' when len(list_filter(p, lambda s: regexp_matches(s, '^(OOV|ART)'))) > 0 then 'oov' else 'uncovered' end kind, count(*) n from x group by 1, 2""",
-    "identical_input_consistency": f"select col, count(*) groups, count(*) filter (where ids > 1) disagree from (select col, {canon_sql('input_label')} canon, count(distinct input_label) forms, count(distinct upper(trim(output_id, ' '))) ids from resolutions where trim(output_id, ' ') <> '' and regexp_matches(input_label, '^[ -~]+$') group by 1, 2) where forms > 1 group by 1",
+    "identical_input_consistency": f"select col, count(*) groups, count(*) filter (where ids > 1) disagree from (select col, {canon_sql('input_label', whole=True)} canon, count(distinct input_label) forms, count(distinct upper(trim(output_id, ' '))) ids from resolutions where trim(output_id, ' ') <> '' group by 1, 2) where forms > 1 and canon <> '' group by 1",
 }

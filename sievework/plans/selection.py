@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from sievework.functions.guards import dedup_cell
 from sievework.functions.missing import NS, is_missing
 from sievework.operators.dictionary import assert_one_answer, first_in_order
+from sievework.runtime import broadcast_if_small
 from sievework.sources.tables import table
 
 
 def catalogue_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a list of accounts or of a list of nations, of a region found by text: semi joins, the lists broadcast."""
+    """Customers of a list of accounts or of a list of nations, of a region found by text: semi joins, a list broadcast if it is small."""
     c = table(spark, sf_dir, "customer")
-    keys = F.broadcast(table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    keys = broadcast_if_small(table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct())
     nations = F.broadcast(table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")))
     either = c.join(keys, "c_custkey", "left_semi").unionByName(c.join(nations, "c_nationkey", "left_semi")).distinct()
     return either.select("c_custkey", "c_name", "c_nationkey")
@@ -116,33 +117,11 @@ def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("c", "p", "f").agg(F.count(F.lit(1)).alias("samples"))
 
 
-def priority_sentinel_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order priorities without their number, missing ones told, over all orders."""
-    v = F.regexp_replace("o_orderpriority", r"^\d-", "")
-    return table(spark, sf_dir, "orders").groupBy(F.when(is_missing(v, "driver"), NS).otherwise(v).alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and balance by region and nation with totals: a two-level tree by rollup."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("k"), F.sum("c_acctbal").alias("b"))
-    out = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.sum("k").alias("customers"), F.round(F.sum("b"), 2).alias("balance"))
-    return out.select(F.coalesce("r_name", F.lit("all")).alias("region"), F.coalesce("n_name", F.lit("all")).alias("nation"), "customers", "balance")
-
-
-def supplier_revenue_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's revenue, its share of its nation's and its rank there; aggregated before the window."""
-    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-    w = Window.partitionBy("s_nationkey")
-    out = r.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-    return out.select("s_suppkey", "s_nationkey", "revenue", F.round(F.col("revenue") / F.sum("revenue").over(w), 6).alias("share"), F.row_number().over(w.orderBy(F.desc("revenue"), "s_suppkey")).alias("place"))
-
-
 _DRV = "('', 'not specified', 'n/a', 'na', 'none', 'null', 'unknown')"
 _LASTSA = "(select * from gsm_phase_results where gsm is not null and field = '{0}' qualify row_number() over (partition by gsm order by updated_at desc nulls last, pr_id desc) = 1)"
 QUERIES = {f.__name__: f for f in (
     catalogue_selection, platform_search, catalogue_token_search, accessions_in_text, channel_merge, two_pass_input, stage_detection, shard_by_hash, demographic_merge, corpus_patch, dictionary_patch_unanimous, assemble_union_manifest,
-    cell_dedup, set_differences, priority_sentinel_census, region_rollup, supplier_revenue_window,
+    cell_dedup, set_differences,
 )}
 ORACLES = {
     "catalogue_selection": "select c_custkey, c_name, c_nationkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000) or c_nationkey in (select n_nationkey from nation where n_regionkey = 1)",
@@ -157,7 +136,4 @@ ORACLES = {
     "dictionary_patch_unanimous": "with r as (select col, lower(trim(input_label, ' ')) k, upper(trim(output_id, ' ')) id from resolutions where input_label is not null), v as (select col, k, min(id) id from r where id <> '' group by 1, 2 having count(distinct id) = 1) select p.col, p.k, pending, v.id from (select col, k, count(*) pending from r where coalesce(id, '') = '' group by 1, 2) p join v on p.col = v.col and p.k = v.k",
     "assemble_union_manifest": "select lower(substr(coalesce(lang, 'none'), 1, 2)) code, count(*) documents, count(*) filter (where text is null or trim(text, ' ') = '') blank, cast(sum(n_chars) as bigint) chars, count(distinct source) sources from documents group by 1",
     "set_differences": "with c as (select distinct gsm, 1 c from gsm_context where gsm is not null), p as (select distinct gsm, 1 p from gsm_phase_results where gsm is not null), f as (select distinct gsm, 1 f from sex_vs_condition_flagged where gsm is not null), a as (select gsm from c union select gsm from p union select gsm from f) select coalesce(c, 0) c, coalesce(p, 0) p, coalesce(f, 0) f, count(*) samples from a left join c using (gsm) left join p using (gsm) left join f using (gsm) group by 1, 2, 3",
-    "priority_sentinel_census": rf"select case when lower(trim(coalesce(v, ''), ' ')) in {_DRV} then 'Not Specified' else v end priority, count(*) n, round(sum(o_totalprice), 2) total from (select *, regexp_replace(o_orderpriority, '^\d-', '') v from orders) group by 1",
-    "region_rollup": "select coalesce(r_name, 'all') region, coalesce(n_name, 'all') nation, count(*) customers, round(sum(c_acctbal), 2) balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)",
-    "supplier_revenue_window": "select s_suppkey, s_nationkey, revenue, round(revenue / sum(revenue) over (partition by s_nationkey), 6) share, row_number() over (partition by s_nationkey order by revenue desc, s_suppkey) place from (select l_suppkey s_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue from lineitem group by 1) join supplier using (s_suppkey)",
 }

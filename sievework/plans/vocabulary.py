@@ -147,21 +147,7 @@ def augmented_label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each label the vocabulary term that covers most of its tokens, among terms that share its rarest token; ties by term."""
-    toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
-    v = table(spark, sf_dir, "vocab").select("term", "mesh_id", toks(F.col("term")).alias("vt")).distinct()
-    vt = v.select("term", "mesh_id", "vt", F.explode("vt").alias("tok"))
-    df = vt.groupBy("tok").agg(F.count_distinct("term").alias("df"))
-    labels = table(spark, sf_dir, "resolutions").select(F.lower("input_label").alias("label")).distinct().select("label", toks(F.col("label")).alias("lt"))
-    rare = labels.select("label", "lt", F.explode("lt").alias("tok")).join(df, "tok").filter("df <= 40")
-    rare = rare.groupBy("label", "lt").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
-    scored = rare.join(vt, "tok").select("label", "term", "mesh_id", (F.size(F.array_intersect("lt", "vt")) / F.size(F.array_union("lt", "vt"))).alias("score"))
-    best = scored.groupBy("label").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "term", "mesh_id")).alias("b"))
-    return best.select("label", F.col("b.term").alias("term"), F.col("b.mesh_id").alias("mesh_id"), (-F.col("b.s")).alias("score"))
-
-
-def lexical_rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`lexical_rerank`, among all terms that share any token with the label."""
+    """For each label the vocabulary term that covers most of its tokens, among all terms that share any; ties by term, then id."""
     toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
     v = table(spark, sf_dir, "vocab").select("term", "mesh_id", toks(F.col("term")).alias("vt")).distinct()
     vt = v.select("term", "mesh_id", F.size("vt").alias("nv"), F.explode("vt").alias("tok"))
@@ -211,7 +197,7 @@ _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{3,}}'))"
 _COS = "round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / greatest(sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[]))), 1e-12), 6)"
 QUERIES = {f.__name__: f for f in (
     exact_vocabulary_hit, ambiguous_surface_forms, unambiguous_index, concept_names, descriptor_text, tree_descendants, tree_shallowest, branch_validity, orphan_ids, label_drift, cell_line_match, cell_line_species, resource_summary,
-    vocabulary_coverage, acronym_senses, acronym_population, unanimous_definitions, augmented_label_queries, lexical_rerank, lexical_rerank_all, vector_topk, vector_topk_masked, consolidate_components, packed_judge_ids,
+    vocabulary_coverage, acronym_senses, acronym_population, unanimous_definitions, augmented_label_queries, lexical_rerank, vector_topk, vector_topk_masked, consolidate_components, packed_judge_ids,
 )}
 ORACLES = {
     "exact_vocabulary_hit": f"""with v as (select {_F.format("category")} col, lower(trim(term, ' ')) k, min(mesh_id) mesh_id from vocab group by 1, 2 having count(distinct mesh_id) = 1)
@@ -233,10 +219,9 @@ select col, grp, count(distinct id) concepts from g group by 1, 2 union all sele
     "acronym_senses": "select col, acronym, count(*) senses, cast(sum(n) as bigint) total, round(max(n) / sum(n), 6) share from (select col, upper(trim(acronym, ' ')) acronym, id, sum(coalesce(samples, 0)) n from acronym_all where id is not null group by 1, 2, 3) group by 1, 2 having count(*) > 1 and sum(n) > 0",
     "acronym_population": "select col, acronym, cast(sum(n) as bigint) samples, first(id order by n desc, id) id from (select col, upper(trim(acronym, ' ')) acronym, coalesce(id, '') id, sum(coalesce(samples, 0)) n from acronym_all group by 1, 2, 3) group by 1, 2 having sum(n) >= 100",
     "unanimous_definitions": "select col, upper(trim(acronym, ' ')) acronym, count(*) votes, case when count(distinct id) = 1 then min(id) else 'conflict' end verdict from acronym_all where lower(trim(resolved, ' ')) = 'yes' and id is not null group by 1, 2",
-    "lexical_rerank": f"""with v as (select distinct term, mesh_id, {_TOK.format("term")} vt from vocab), vt as (select term, mesh_id, vt, unnest(vt) tok from v), df as (select tok, count(distinct term) df from vt group by 1),
-l as (select label, {_TOK.format("label")} lt from (select distinct lower(input_label) label from resolutions)), r as (select label, lt, unnest(lt) tok from l), q as (select r.label, first(lt) lt, first(r.tok order by df, r.tok) tok from r join df using (tok) where df <= 40 group by 1),
-s as (select label, term, mesh_id, round(len(list_intersect(lt, vt)) / len(list_distinct(list_concat(lt, vt))), 6) score from q join vt using (tok))
-select label, term, mesh_id, score from s qualify row_number() over (partition by label order by score desc, term, mesh_id) = 1""",
+    "lexical_rerank": f"""with v as (select distinct term, mesh_id, {_TOK.format("term")} vt from vocab), l as (select distinct lower(input_label) label, {_TOK.format("input_label")} lt from resolutions),
+a as (select term, mesh_id, len(vt) nv, unnest(vt) tok from v), b as (select label, len(lt) nl, unnest(lt) tok from l), p as (select label, term, mesh_id, nl, nv, count(*) c from b join a using (tok) group by all),
+s as (select label, term, mesh_id, round(c / (nl + nv - c), 6) s from p) select label, first(term order by s desc, term, mesh_id) term, first(mesh_id order by s desc, term, mesh_id) mesh_id, max(s) score from s group by 1""",
     "vector_topk": f"select query_id, ref_id, score from (select a.vec_id query_id, b.vec_id ref_id, {_COS} score from embeddings a, embeddings b where a.vec_id % 100 = 0 qualify row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) <= 6) where query_id <> ref_id",
     "vector_topk_masked": f'select a.vec_id query_id, b.vec_id ref_id, {_COS} score, row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) "rank" from embeddings a join embeddings b on a.label = b.label where a.vec_id % 100 = 0 qualify row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) <= 5',
 }

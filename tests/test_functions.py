@@ -147,5 +147,13 @@ def test_definitions(short, text, want):
 
 def test_harvest_and_summary(spark):
     assert acronyms.harvest_definitions("chronic lymphocytic leukemia (CLL); AD (Alzheimer disease)") == [("CLL", "chronic lymphocytic leukemia"), ("AD", "Alzheimer disease")]
-    df = spark.createDataFrame([("One. Two is here. " + "x" * 600 + ".", None, "")], "a string, b string, c string")
-    assert df.select(acronyms.study_summary(*map(F.col, "abc")).alias("s")).first().s == "One. Two is here."
+    cases = [
+        (("T", "One. Two is here.", None), "Title: T. One. Two is here."),
+        ((None, "A.", "des"), "A. Design: des"),
+        (("x" * 600, None, None), "Title: " + "x" * 504 + "…"),
+        (("T", "First fits. " + "y" * 600 + ". Third is short.", ""), "Title: T. First fits."),
+        (("T", "S.", "d" * 900), "Title: T. S. Design: " + "d" * 489),
+        ((None, None, None), ""),
+    ]
+    df = spark.createDataFrame([c for c, _ in cases], "a string, b string, c string")
+    assert [r.s for r in df.select(acronyms.study_summary(*map(F.col, "abc")).alias("s")).collect()] == [want for _, want in cases]

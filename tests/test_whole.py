@@ -45,11 +45,11 @@ def folder(spark, tmp_path_factory):
 
 
 def test_labels_of_any_characters(spark, folder):
-    assert {r["raw"]: r["canon"] for r in run(spark, folder, "canonical_values_all")} == {x: canon(x) for _, x in LABELS}
+    assert {r["raw"]: r["canon"] for r in run(spark, folder, "canonical_values")} == {x: canon(x) for _, x in LABELS}
     mint = lambda c, x: f"OOV-{c[0]}-" + hashlib.sha1(f"{c}\x00{' '.join(x.lower().split())}".encode()).hexdigest()[:10].upper()
-    assert {(r["col"], r["raw"]): r["ref_id"] for r in run(spark, folder, "mint_oov_ids_all")} == {(c, x): mint(c, x) for c, x in LABELS}
+    assert {(r["col"], r["raw"]): r["ref_id"] for r in run(spark, folder, "mint_oov_ids")} == {(c, x): mint(c, x) for c, x in LABELS}
     safe = lambda x: re.sub("[^A-Za-z0-9_.-]", "_", x).strip("_")
-    assert {r["raw"]: r["safe"] for r in run(spark, folder, "export_safe_names_all")} == {x: safe(x) for _, x in LABELS}
+    assert {r["raw"]: r["safe"] for r in run(spark, folder, "export_safe_names")} == {x: safe(x) for _, x in LABELS}
 
 
 def test_groups_of_labels_of_any_characters(spark, folder):
@@ -63,8 +63,8 @@ def test_groups_of_labels_of_any_characters(spark, folder):
         if len(groups[k]) > 1:
             n, d = want.get(k[0], (0, 0))
             want[k[0]] = (n + 1, d + (len(answers[k]) > 1))
-    assert {r["col"]: (r["groups"], r["disagree"]) for r in run(spark, folder, "identical_input_consistency_all")} == want
-    assert sum(r["n_rows"] for r in run(spark, folder, "routing_decomposition_all")) == len(LABELS)
+    assert {r["col"]: (r["groups"], r["disagree"]) for r in run(spark, folder, "identical_input_consistency")} == want
+    assert sum(r["n_rows"] for r in run(spark, folder, "routing_decomposition")) == len(LABELS)
 
 
 def test_vocabulary_of_any_characters(spark, folder):
@@ -90,7 +90,7 @@ def test_common_tokens(spark, tmp_path):
         if scored:
             s, t, i = min(scored)
             want[x] = (t, i, -s)
-    assert {r["label"]: (r["term"], r["mesh_id"], r["score"]) for r in run(spark, tmp_path, "lexical_rerank_all")} == want
+    assert {r["label"]: (r["term"], r["mesh_id"], r["score"]) for r in run(spark, tmp_path, "lexical_rerank")} == want
     assert {"disorder", "disorder anemia"} <= set(want)
     # "disorder" stands in 62 terms; alone it covers the one-word term, which takes the label
     assert {r["label"]: r["name"] for r in run(spark, tmp_path, "lexical_picks")}["disorder"] == "disorder"
@@ -126,7 +126,7 @@ def test_vectors_joined_by_similarity(spark, tmp_path):
 def test_context_longer_than_120(spark, tmp_path):
     rows = [("G1", "S1", "t", "x" * 150 + tail, "p" * 700) for tail in ("a", "b")]
     spark.createDataFrame(rows, "gse string, gsm string, title string, source_name string, treatment_protocol string").write.parquet(f"{tmp_path}/gsm_context.parquet")
-    got = sorted(r["context"] for r in run(spark, tmp_path, "sample_context_text_all"))
+    got = sorted(r["context"] for r in run(spark, tmp_path, "sample_context_text"))
     assert got == [f"title: t | source: {r[3]} | treatment: {'p' * 700}"[:700] for r in rows]
 
 
