@@ -73,7 +73,7 @@ def contract(links: DataFrame, nodes: DataFrame | None = None, *, parent: str =
     records, core = [], False
     n = {EDGE: edges.count()}
     while n.get(EDGE):
-        step = cut(_round(edges, len(records), work))
+        step = _round(edges, len(records), work)
         n = count_by(step, "kind")
         if set(n) <= {EDGE}:
             step = cut(_eliminate(edges, len(records), work))
@@ -130,7 +130,7 @@ def _arm(work: _Work, w: str = "w", mid: str = "mid") -> list[Column]:
 
 
 def _round(edges: DataFrame, k: int, work: _Work) -> DataFrame:
-    """One splicing and raking: a table (kind, p, c, w) of the links left, the self-links made and what was taken away."""
+    """One splicing and raking, materialized: a table (kind, p, c, w) of the links left, the self-links made and what was taken away."""
     mid = bool(work.mid)
     null = lambda t: F.lit(None).cast(t)
     arrays = lambda a, b: [a.alias("mid_in"), b.alias("mid_out")] if mid else []
@@ -141,7 +141,7 @@ def _round(edges: DataFrame, k: int, work: _Work) -> DataFrame:
     nodes = ends.groupBy("v").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), *[F.min(c).alias(c) for c in ("u", "x", "w_in", "w_out")], *([F.min(c).alias(c) for c in ("mid_in", "mid_out")] if mid else []))
     nodes = nodes.filter("n_out = 0 or (n_in = 1 and n_out = 1)").persist()
     chain = nodes.filter("n_out = 1").drop("n_in", "n_out")
-    rank = lambda v: F.xxhash64(F.col(v), F.lit(k))
+    rank = lambda v: F.xxhash64(F.col(v), F.lit(k % 2))  # two hashes in turn: compiled plans serve again
     rivals = chain.select(F.explode(F.array("u", "x")).alias("v"), rank("v").alias("rival"))
     of_chain = [c for c in chain.columns if c != "v"]
     met = chain.withColumn("rival", null("long")).unionByName(rivals, allowMissingColumns=True).groupBy("v").agg(*[F.min(c).alias(c) for c in of_chain], F.min("rival").alias("rival"))
@@ -155,7 +155,10 @@ def _round(edges: DataFrame, k: int, work: _Work) -> DataFrame:
     left = salted_join(left.filter("gone = 0"), leaves, "c", work.parents, ["p"], "left")
     left = left.select(F.when(F.col("p") == F.col("c"), LOOP).otherwise(F.coalesce("leaf", F.lit(EDGE))).alias("kind"), "p", "c", *_arm(work))
     record = lambda kind, p, c, side: F.struct(F.lit(kind).alias("kind"), F.col(p).alias("p"), F.col(c).alias("c"), F.col(f"w_{side}").alias("w"), *([F.col(f"mid_{side}").alias("mid")] if mid else []))
-    return left.union(gone.select(F.inline(F.array(record(INTO, "u", "v", "in"), record(OUT, "v", "x", "out")))))
+    done = cut(left.union(gone.select(F.inline(F.array(record(INTO, "u", "v", "in"), record(OUT, "v", "x", "out"))))))
+    nodes.unpersist()
+    gone.unpersist()
+    return done
 
 
 def _eliminate(edges: DataFrame, k: int, work: _Work) -> DataFrame:
@@ -163,7 +166,7 @@ def _eliminate(edges: DataFrame, k: int, work: _Work) -> DataFrame:
     as many links as before afterwards, so links get fewer."""
     ends = edges.select(F.col("c").alias("v"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(edges.select("p", F.lit(0), F.lit(1)))
     able = ends.groupBy("v").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).filter("least(i, o) = 1").select("v")
-    rank = lambda v: F.xxhash64(F.col(v), F.lit(k))
+    rank = lambda v: F.xxhash64(F.col(v), F.lit(k % 2))
     both = edges.join(able.select(F.col("v").alias("p")), "p").join(able.select(F.col("v").alias("c")), "c")
     rivals = both.select(F.col("p").alias("v"), rank("c").alias("rival")).union(both.select("c", rank("p"))).groupBy("v").agg(F.min("rival").alias("rival"))
     gone = cut(able.join(rivals, "v", "left").filter(F.col("rival").isNull() | (rank("v") < F.col("rival"))).select("v"))

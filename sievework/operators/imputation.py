@@ -34,19 +34,14 @@ class Prototypes:
         if not self.centres:
             return F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i"))
 
-        def distance(c: dict) -> Column:
-            parts = []
-            for name, value in c.items():
-                if value is None:
-                    continue
-                x = feature[name]
-                if name in self.numeric:
-                    parts.append(F.coalesce(F.pow((x - F.lit(float(value))) / F.lit(self.numeric[name]), F.lit(2.0)), F.lit(0.0)))
-                else:
-                    parts.append(F.when(x.isNull() | (x == F.lit(value)), 0.0).otherwise(self.gamma))
+        # the centres are one literal, so the compiled plan of a round serves for all rounds
+        centres = F.array(*[F.struct(*[F.lit(c[n]).cast("double" if n in self.numeric else "long").alias(n) for n in feature]) for c in self.centres])
+
+        def distance(c: Column) -> Column:
+            parts = [F.coalesce(F.pow((x - c[n]) / F.lit(self.numeric[n]), F.lit(2.0)), F.lit(0.0)) if n in self.numeric else F.when(x.isNull() | c[n].isNull() | (x == c[n]), 0.0).otherwise(self.gamma) for n, x in feature.items()]
             return sum(parts, F.lit(0.0))
 
-        return F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]))
+        return F.array_min(F.transform(centres, lambda c, i: F.struct(distance(c).alias("d"), i.alias("i"))))
 
 
 def _features(numeric: list[str], categorical: list[str]) -> dict[str, Column]:

@@ -48,3 +48,17 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants}
+
+_SPACE = r"[\s\p{Z}\v\x1c-\x1f\x{85}]"
+_SQL_ID = rf"nullif(upper(regexp_replace(X, '^{_SPACE}+|{_SPACE}+$', '', 'g')), '')"
+_SQL_LINKS = rf"""n as (select regexp_replace(regexp_replace(upper(regexp_replace(tree_number, '^{_SPACE}+|{_SPACE}+$', '', 'g')), '\.$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') num, {_SQL_ID.replace("X", "mesh_id")} id from mesh_tree),
+t as (select distinct num, id from n where id is not null), g as (select {_SQL_ID.replace("X", "parent_id")} p, {_SQL_ID.replace("X", "child_id")} c from mesh_parent),
+l as (select p, c from g where p is not null and c is not null union select a.id, b.id from t a join t b on a.num <> '' and contains(b.num, '.') and regexp_replace(b.num, '\.[^.]*$', '') = a.num),
+v as (select p node from g where p is not null union select c from g where c is not null union select id from t)"""
+# the shortest way from a root has fewer links than there are nodes; who can be reached from itself shows in the closure
+ORACLES = {
+    "p1_found": f"""with recursive {_SQL_LINKS}, m as (select count(*) n from v),
+w as (select node, node root, 0 d from v where node not in (select c from l) union select l.c, w.root, w.d + 1 from w join l on l.p = w.node where w.d < (select n from m)),
+closure as (select p, c from l union select k.p, l.c from closure k join l on k.c = l.p)
+select node node_id, root root_id, cast(min(d) as bigint) depth from w group by 1, 2 union all select p, p, -1 from closure where p = c""",
+}
