@@ -10,49 +10,46 @@ from pyspark.sql import functions as F
 from sievework.runtime import cut
 
 
-def top_k(queries: DataFrame, index: DataFrame, *, k: int, category: bool = False, block_rows: int = 200_000) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, *, k: int, category: bool = False, block_rows: int = 20_000) -> DataFrame:
     """(query_id, ref_id, score, rank): the ``k`` nearest distinct refs of each query by cosine, ties by id.
 
     queries: (query_id, vec[, category]); index: (ref_id, vec[, category]). ``category``: only refs of the query's own.
-    The index goes around in blocks of at most ``block_rows`` vectors, each broadcast and multiplied as one matrix with
-    a batch of queries; the partial results, k per query and block, are merged by rank.
+    Both sides are cut into blocks of about ``block_rows`` vectors; each pair of blocks is one task on an executor, which multiplies
+    two matrices and keeps k refs for each query, and the partial results are merged by rank. Nothing goes through the driver.
     """
-    spark = queries.sparkSession
     cat = ["category"] if category else []
-    blocks = max(1, -(-index.count() // block_rows))
-    parts = []
-    for b in range(blocks):
-        pdf = index.filter(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == b).select("ref_id", "vec", *cat).toPandas()
-        ids = pdf["ref_id"].to_numpy()
-        mat = np.array(pdf["vec"].tolist(), np.float64).reshape(len(ids), -1)
-        cats = pdf["category"].to_numpy() if category else None
-        bc = spark.sparkContext.broadcast((ids, mat, cats))
-
-        def search(batches, bc=bc):
-            ids, mat, cats = bc.value
-            norm = np.linalg.norm(mat, axis=1) if len(ids) else np.empty(0)
-            for q in batches:
-                if not len(ids) or not len(q):
-                    continue
-                m = np.array(q["vec"].tolist(), np.float64)
+    size = lambda df: max(1, -(-df.count() // block_rows))
+    n_q, n_x = size(queries), size(index)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "vec", *cat, block("query_id", n_q).alias("qb"), each(n_x).alias("xb"))
+    right = index.select("ref_id", "vec", *cat, block("ref_id", n_x).alias("xb"), each(n_q).alias("qb"))
+
+    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        kinds = q["category"].unique() if category else [None]
+        x = x.sort_values("ref_id", kind="stable")
+        for kind in kinds:
+            qs, xs = (q[q["category"] == kind], x[x["category"] == kind]) if category else (q, x)
+            if not len(qs) or not len(xs):
+                continue
+            mat = np.array(xs["vec"].tolist(), np.float64)
+            norm = np.linalg.norm(mat, axis=1)
+            ids, first = np.unique(xs["ref_id"].to_numpy(), return_index=True)
+            for at in range(0, len(qs), 1000):
+                part = qs.iloc[at : at + 1000]
+                m = np.array(part["vec"].tolist(), np.float64)
                 s = np.round((m @ mat.T) / np.maximum(np.outer(np.linalg.norm(m, axis=1), norm), 1e-12), 6)
-                if cats is not None:
-                    s[q["category"].to_numpy()[:, None] != cats[None, :]] = -np.inf
-                out = []
-                for i, qid in enumerate(q["query_id"]):
-                    best: dict = {}
-                    for j in np.lexsort((ids, -s[i])):
-                        if s[i, j] == -np.inf or len(best) == k:
-                            break
-                        best.setdefault(ids[j], s[i, j])
-                    out += [(qid, r, v) for r, v in best.items()]
-                yield pd.DataFrame(out, columns=["query_id", "ref_id", "score"])
-
-        kind = lambda df, c: df.schema[c].dataType.simpleString()
-        parts.append(queries.select("query_id", "vec", *cat).mapInPandas(search, f"query_id {kind(queries, 'query_id')}, ref_id {kind(index, 'ref_id')}, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+                s = np.maximum.reduceat(s, first, axis=1)  # a ref's best vector
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                for i, qid in enumerate(part["query_id"]):
+                    near = np.flatnonzero(s[i] >= least[i])
+                    near = near[np.argsort(-s[i, near], kind="stable")][:k]  # refs stand in the order of their ids
+                    out += [(qid, ids[j], s[i, j]) for j in near]
+        return pd.DataFrame(out, columns=["query_id", "ref_id", "score"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(search, f"query_id {kind(queries, 'query_id')}, ref_id {kind(index, 'ref_id')}, score double")
     best = out.groupBy("query_id", "ref_id").agg(F.max("score").alias("score"))
     ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ref_id"))), 1, k).alias("top"))
     return ranked.select("query_id", F.posexplode("top").alias("i", "t")).select("query_id", F.col("t.ref_id").alias("ref_id"), (-F.col("t.s")).alias("score"), (F.col("i") + 1).alias("rank"))
