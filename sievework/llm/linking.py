@@ -68,9 +68,6 @@ class Wording:
                 by_first.setdefault(w[0], []).append(w)
         self.near = lru_cache(100_000)(lambda w: len(w) > 4 and any(abs(len(w) - len(x)) < 2 and weighted_distance(w, x, 1) <= 1 for x in by_first.get(w[0], ())))
 
-    def __reduce__(self):
-        return Wording, (self.words, self.short)
-
 
 def fold(text: str) -> str:
     """Lower case, without accents, dashes as hyphens, other marks and white space as they are."""
@@ -208,6 +205,17 @@ class Dictionary:
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.places = hashes[order], np.fromiter((i for _, i in pairs), np.int32, len(pairs))[order]
 
+    def parts(self) -> tuple:
+        """What the index is made of, plain values only: a broadcast is read where this package isn't."""
+        return self.max_edits, self.wording.words, self.wording.short, self.exact, self.near, self.letters, self.hashes, self.places
+
+    @classmethod
+    def of(cls, parts: tuple) -> Dictionary:
+        out = cls.__new__(cls)
+        out.max_edits, around, short, out.exact, out.near, out.letters, out.hashes, out.places = parts
+        out.wording = Wording(around, short)
+        return out
+
     def candidates(self, word: str, group: str, most: int) -> set[int]:
         """Places of the keys of ``group`` that share a deletion with ``word``."""
         at = np.fromiter((_hash(group, d) for d in deletions(word, most)), np.uint64)
@@ -307,10 +315,11 @@ def link_labels(df: DataFrame, reference: DataFrame, *, label: str, group: str,
     whole = F.col("label").isNotNull() & F.col("grp").isNotNull()
     each = rows.filter(whole).groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"))
     each = cut(each.withColumns({"ref_id": F.lit(None).cast("string"), "distance": F.lit(None).cast("double"), "rank": F.lit(None).cast("long")}))
-    total = each.agg(F.sum("n")).first()[0] or 0
+    sizes = each.agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("rows")).first()
+    total, parts = sizes["rows"] or 0, max(spark.sparkContext.defaultParallelism, -(-sizes["labels"] // 20_000))  # small rows, dear to look up
     for b in range(blocks):
-        index = spark.sparkContext.broadcast(Dictionary((tuple(r) for r in names.filter(F.col("block") == b).drop("block").toLocalIterator()), max_edits, wording))
-        each = cut(_look_up(each.repartition("label"), index))
+        index = spark.sparkContext.broadcast(Dictionary((tuple(r) for r in names.filter(F.col("block") == b).drop("block").toLocalIterator()), max_edits, wording).parts())
+        each = cut(_look_up(each.repartition(parts, "label"), index))
         index.destroy()
     out = hot_join(rows.filter(whole), each.select("label", "grp", "n", "ref_id", "distance"), ["label", "grp"], "n", total)
     out = out.unionByName(rows.filter(~whole).withColumns({"ref_id": F.lit(None).cast("string"), "distance": F.lit(None).cast("double")}))
@@ -321,10 +330,11 @@ def _look_up(each: DataFrame, index) -> DataFrame:
     """Answers of one block, merged with those of the blocks before."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dictionary = Dictionary.of(index.value)
         for pdf in batches:
             out = []
             for lab, grp, ref, dist, rank in zip(pdf["label"], pdf["grp"], pdf["ref_id"], pdf["distance"], pdf["rank"]):
-                new, old = index.value.best(lab, grp), (dist, rank, ref) if isinstance(ref, str) else None
+                new, old = dictionary.best(lab, grp), (dist, rank, ref) if isinstance(ref, str) else None
                 out.append(min((x for x in (new, old) if x), default=(None, None, None)))
             yield pdf.assign(ref_id=[x[2] for x in out], distance=pd.Series([x[0] for x in out], index=pdf.index, dtype="float64"), rank=pd.Series([x[1] for x in out], index=pdf.index, dtype="Int64"))
 
