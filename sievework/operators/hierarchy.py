@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.skew import hubs, salted_join
-from sievework.runtime import count_by, cut
+from sievework.runtime import count_by, cut, release
 
 #: Kinds of rows of a round: links left, links of raked nodes, links into and out of spliced nodes, self-links.
 EDGE, RAKED, INTO, OUT, LOOP = 0, 1, 2, 3, 4
@@ -85,6 +85,8 @@ def contract(links: DataFrame, nodes: DataFrame | None = None, *, parent: str =
             loops = loops.union(step.filter(F.col("kind") == LOOP).select(F.col("p").alias("node")))
         records.append((step, bool(n.get(INTO))))
         edges = step.filter(F.col("kind") == EDGE).drop("kind")
+        if len(records) % 4 == 0:
+            release(links.sparkSession)
     loops = cut(loops.distinct())
     path = [F.array("node").alias("path")] if mode == "paths" else []
     own = (names if mode == "descendants" else names.filter("root")).select(F.col("id").alias("node"), F.col("id").alias("src"), F.lit(0).alias("d"))
@@ -247,7 +249,9 @@ def _replay(labels: DataFrame, marks: DataFrame, records: list[tuple[DataFrame,
     no_path = [F.lit(None).cast("array<long>").alias("path") for _ in work.mid]
     state = cut(labels.union(marks.select("node", "src", F.lit(-1).alias("d"), *no_path)))
     kind = F.col("kind")
-    for step, spliced in reversed(records):
+    for i, (step, spliced) in enumerate(reversed(records)):
+        if i % 4 == 0:
+            release(labels.sparkSession)
         at = state.filter("d >= 0")
         if work.mode == "descendants":
             new = _undone_pairs(at, step, spliced, work)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.skew import hot_join
-from sievework.runtime import cut
+from sievework.runtime import cut, release
 
 
 @dataclass
@@ -88,6 +88,7 @@ def fill_from_similar(df: DataFrame, *, id_col: str, target: str, group: list[st
     """
     numeric, categorical = list(numeric), list(categorical)
     centres = k_prototypes(df, numeric, categorical, k=k)
+    release(df.sparkSession)
     names = [f"g{i}" for i in range(len(group))]
     rows = df.select(F.col(id_col).alias("rid"), F.col(target).alias("value"), (F.col(sample) if sample else F.col(id_col)).alias("sample"), centres.assign(_features(numeric, categorical))["i"].alias("cluster"), *[F.col(c).alias(g) for c, g in zip(group, names)])
     rows = cut(rows.filter(" and ".join(f"{g} is not null" for g in names)))

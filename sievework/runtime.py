@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(there.queryExecution().toRdd(), there.schema(), False), spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier rounds left behind: their shuffle files, broadcasts, checkpoints and compiled code go only when the
+    driver collects its garbage, which it may not do for a long time while rounds go on."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def count_by(df: DataFrame, col: str) -> dict:
     """Row counts for a column of few, fixed values (kinds, stages), for driver-side control."""
     return {r[0]: r[1] for r in df.groupBy(col).agg(F.count(F.lit(1))).collect()}
