@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.skew import hubs, salted_join
-from sievework.runtime import count_by, cut, release
+from sievework.runtime import count_by, cut, release, setting
 
 #: Kinds of rows of a round: links left, links of raked nodes, links into and out of spliced nodes, self-links.
 EDGE, RAKED, INTO, OUT, LOOP = 0, 1, 2, 3, 4
@@ -70,6 +70,17 @@ def contract(links: DataFrame, nodes: DataFrame | None = None, *, parent: str =
         raise ValueError(f"unknown mode {mode!r}")
     raw = links.select(F.col(parent).cast("string").alias("p"), F.col(child).cast("string").alias("c"))
     names, edges, loops, work = _numbered(raw, nodes, node, mode)
+    # adaptive planning starts a thread of its own for each shuffle, which stays for a minute: over the rounds that is hundreds in
+    # the driver. Hot keys are salted here, so the rounds do without it.
+    with setting(links.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        labels, marks, rounds = _contracted(names, edges, loops, work)
+    out = _named(labels, names, work)
+    cyclic = marks.select(F.col("node").alias("id")).distinct().join(names.select("id", F.col("name").alias("node")), "id").select("node")
+    return Hierarchy(out, cyclic, rounds)
+
+
+def _contracted(names: DataFrame, edges: DataFrame, loops: DataFrame, work: _Work) -> tuple[DataFrame, DataFrame, int]:
+    """Labels and loop marks by number, and the number of rounds, all materialized."""
     records, core = [], False
     n = {EDGE: edges.count()}
     while n.get(EDGE):
@@ -86,22 +97,20 @@ def contract(links: DataFrame, nodes: DataFrame | None = None, *, parent: str =
         records.append((step, bool(n.get(INTO))))
         edges = step.filter(F.col("kind") == EDGE).drop("kind")
         if len(records) % 4 == 0:
-            release(links.sparkSession)
+            release(names.sparkSession)
     loops = cut(loops.distinct())
-    path = [F.array("node").alias("path")] if mode == "paths" else []
-    own = (names if mode == "descendants" else names.filter("root")).select(F.col("id").alias("node"), F.col("id").alias("src"), F.lit(0).alias("d"))
+    path = [F.array("node").alias("path")] if work.mode == "paths" else []
+    own = (names if work.mode == "descendants" else names.filter("root")).select(F.col("id").alias("node"), F.col("id").alias("src"), F.lit(0).alias("d"))
     labels = own.select("*", *path)
     marks = loops.select("node", F.col("node").alias("src"))
     if core:
         labels, marks = _core_labels(cut(labels), edges, work), cut(marks.union(_components(edges)))
-    if mode == "descendants":  # a node's pair with itself is added at the end
+    if work.mode == "descendants":  # a node's pair with itself is added at the end
         labels = labels.filter("node <> src")
     labels, marks = _replay(labels, marks, records, work)
-    if mode == "descendants":
+    if work.mode == "descendants":
         labels = labels.filter("node <> src").union(own)
-    out = _named(labels, names, work)
-    cyclic = marks.select(F.col("node").alias("id")).distinct().join(names.select("id", F.col("name").alias("node")), "id").select("node")
-    return Hierarchy(out, cyclic, len(records))
+    return labels, marks, len(records)
 
 
 def _numbered(raw: DataFrame, nodes: DataFrame | None, node: str, mode: str) -> tuple:
@@ -248,7 +257,7 @@ def _replay(labels: DataFrame, marks: DataFrame, records: list[tuple[DataFrame,
     any_marks = not marks.isEmpty()
     no_path = [F.lit(None).cast("array<long>").alias("path") for _ in work.mid]
     state = cut(labels.union(marks.select("node", "src", F.lit(-1).alias("d"), *no_path)))
-    kind = F.col("kind")
+    kind, most = F.col("kind"), int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for i, (step, spliced) in enumerate(reversed(records)):
         if i % 4 == 0:
             release(labels.sparkSession)
@@ -262,7 +271,7 @@ def _replay(labels: DataFrame, marks: DataFrame, records: list[tuple[DataFrame,
             above = salted_join(step.filter(kind == INTO).select("p", "c"), on.withColumnRenamed("node", "p"), "p", work.children, ["c"]).select(F.col("c").alias("node"), "src")
             below = salted_join(step.filter(kind == OUT).select("p", "c"), on.withColumnRenamed("node", "c"), "c", work.parents, ["p"]).select(F.col("p").alias("node"), "src")
             new = new.union(above.join(below, ["node", "src"], "left_semi").distinct().select("node", "src", F.lit(-1).alias("d"), *no_path))
-        state = cut(state.union(new))
+        state = cut(state.union(new).coalesce(most))
     return state.filter("d >= 0"), state.filter("d < 0").select("node", "src")
 
 
