@@ -1,15 +1,17 @@
 """Definitions of abbreviations in running text, as Schwartz and Hearst (2003) define them: the short form's letters stand in
-the words beside it in their order, the first one beginning a word, and the expansion is the shortest such stretch. One
-pattern is compiled for each short form. Plain functions for one text, and frame operators that call them for each text.
+the words beside it in their order, the first one beginning a word, and the expansion is the shortest such stretch. A text is
+read once, in time by its length. Plain functions for one text, and frame operators that call them for each text; they hold no
+cached functions, which Python workers would look up in the package instead of getting them by value.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -29,39 +31,56 @@ def shaped(token: str) -> bool:
     return small <= 1 and sum(c.isupper() for c in token) >= 2
 
 
-@lru_cache(10_000)
-def _spelling(short: str) -> tuple[re.Pattern, int] | None:
-    """The pattern of texts that end in an expansion, and how many words it may have by the paper: the letters in order, the first one
-    beginning a word; the greedy lead makes the expansion as short as can be."""
-    letters = [re.escape(c) for c in short.lower() if c.isalnum()]
-    if not letters:
-        return None
-    return re.compile(r"(?s)(?:.*[ \-/])?(" + ".*".join(letters) + ".*)"), min(len(letters) + 5, 2 * len(letters) + 2)
+def _letters(short: str) -> list[str]:
+    return [c for c in short.lower() if c.isalnum()]
+
+
+def _most(letters: int) -> int:
+    """How many words an expansion of so many letters may have by the paper."""
+    return min(letters + 5, 2 * letters + 2)
 
 
 def spelled(short: str, words: list[str]) -> str | None:
-    """The last of ``words`` that spell ``short``, joined; null if none do, or too many."""
-    if not (rule := _spelling(short)):
+    """The last of ``words`` that spell ``short``, joined; null if none do, or too many. The letters are looked up from the end on, each
+    at its last place, so the expansion begins as late as can be."""
+    if not (letters := _letters(short)):
         return None
-    text = " ".join(words[-rule[1] :])
-    m = rule[0].fullmatch(text.lower())
-    return text[m.start(1) :].strip(" -/,;:") or None if m else None
+    text = " ".join(words[-_most(len(letters)) :])
+    low = text.lower()
+    at = len(low)
+    for c in reversed(letters[1:]):
+        if (at := low.rfind(c, 0, at)) < 0:
+            return None
+    while (at := low.rfind(letters[0], 0, at)) > 0 and low[at - 1] not in " -/":
+        pass
+    return text[at:].strip(" -/,;:") or None if at >= 0 else None
 
 
 def _pairs(text: str) -> Iterator[tuple[str, list[str], str | None]]:
     """(possible short form, words that may spell it, the whole expansion if those do) around every pair of brackets: its head with
-    the words before it, and the word before it with those inside."""
+    the words before it, and the word before it with those inside. Of the words before it, as many as a short form may have."""
+    before, at = deque(maxlen=_most(10)), 0
     for m in BRACKET.finditer(text):
-        before, inner = re.findall(WORD, text[: m.start()]), m[1].strip()
+        before.extend(w[0] for w in re.finditer(WORD, text[at : m.start()]))  # no word holds a bracket, so none is cut in two
+        at, inner = m.start(), m[1].strip()
         if not before:
             continue
         if head := re.match(rf"({WORD})\s*(?:[;,:–—-]|$)", inner):
-            yield head[1], before, None
-        inside, rule = re.findall(WORD, inner), _spelling(before[-1])
-        if rule and 0 < len(inside) <= rule[1]:
+            yield head[1], list(before), None
+        inside = re.findall(WORD, inner)
+        if 0 < len(inside) <= _most(len(_letters(before[-1]))):
             yield before[-1], inside, inner
 
 
+def _key(short: str) -> str:
+    return short.lower().rstrip("s")
+
+
+def _first(short: str, pairs: list[tuple[list[str], str | None]]) -> str | None:
+    """The expansion by the first of a short form's ``pairs`` that spells it."""
+    return next((_plain(whole or span) for words, whole in pairs if (span := spelled(short, words))), None)
+
+
 def _plain(span: str) -> str:
     """Without doubled blanks, marks around it and a leading little word."""
     words = span.strip(" -/,;:.").split()
@@ -73,16 +92,17 @@ def find_definition(short: str | None, text: str | None) -> str | None:
     if not short or not text or not shaped(short):
         return None
     short = short.strip()
-    for name, words, whole in _pairs(text):
-        if name.lower().rstrip("s") == short.lower().rstrip("s") and (span := spelled(short, words)):
-            return _plain(whole or span)
-    return None
+    return _first(short, [(words, whole) for name, words, whole in _pairs(text) if _key(name) == _key(short)])
 
 
 def harvest_definitions(text: str | None) -> list[tuple[str, str]]:
     """All (short form, expansion) pairs that a text defines, each short form once."""
-    names = dict.fromkeys(name for name, _, _ in _pairs(text or "") if shaped(name))
-    return [(name, span) for name in names if (span := find_definition(name, text))]
+    names, pairs = {}, defaultdict(list)
+    for name, words, whole in _pairs(text or ""):
+        if name not in names:
+            names[name] = shaped(name)
+        pairs[_key(name)].append((words, whole))
+    return [(name, span) for name, fits in names.items() if fits and (span := _first(name, pairs[_key(name)]))]
 
 
 @F.pandas_udf(StringType())
@@ -94,15 +114,19 @@ def definitions(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns, short, expansion: a row for each definition in each text."""
     src = df.select(*keep, F.col(text).alias("_text")).filter("_text is not null and _text like '%(%'")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [harvest_definitions(t) for t in pdf["_text"]]
-            out = pdf.drop(columns="_text").loc[pdf.index.repeat([len(g) for g in got])].reset_index(drop=True)
-            flat = [x for g in got for x in g]
-            yield out.assign(short=[x[0] for x in flat], expansion=[x[1] for x in flat])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, short, expansion = [], [], []
+            for i, t in enumerate(batch.column("_text")):
+                for name, span in harvest_definitions(t.as_py()):
+                    rows.append(i)
+                    short.append(name)
+                    expansion.append(span)
+            kept = batch.drop_columns("_text").take(pa.array(rows, pa.int64()))
+            yield kept.append_column("short", pa.array(short, pa.string())).append_column("expansion", pa.array(expansion, pa.string()))
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in src.drop("_text").schema] + ["short string", "expansion string"])
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def disambiguate(words_of: dict[str, list[str]], text: Column) -> Column:

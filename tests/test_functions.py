@@ -1,6 +1,11 @@
 """Documented examples of the column functions."""
 
+import subprocess
+import sys
+import time
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sievework.functions import acronyms, guards, labels, missing
@@ -157,3 +162,29 @@ def test_harvest_and_summary(spark):
     ]
     df = spark.createDataFrame([c for c, _ in cases], "a string, b string, c string")
     assert [r.s for r in df.select(acronyms.study_summary(*map(F.col, "abc")).alias("s")).collect()] == [want for _, want in cases]
+
+
+def test_definitions_travel_without_the_package(tmp_path):
+    text = "chronic lymphocytic leukemia (CLL)"
+    for f, args, want in [(acronyms.harvest_definitions, (text,), [("CLL", text[:-6])]), (acronyms.find_definition, ("CLL", text), text[:-6])]:
+        run = "import sys; from pyspark import cloudpickle; f, args = cloudpickle.load(sys.stdin.buffer); print(f(*args), 'sievework' in sys.modules)"
+        there = subprocess.run([sys.executable, "-I", "-c", run], input=cloudpickle.dumps((f, args)), capture_output=True, cwd=tmp_path)
+        assert there.stdout.decode().strip() == f"{want} False", there.stderr.decode()
+
+
+def test_definitions_of_frames(spark):
+    rows = [(2**53 + 1, "chronic lymphocytic leukemia (CLL)"), (None, "AD (Alzheimer disease)"), (2**63 - 1, "myocardial infarction (MI) or MI (not one)"), (1, None), (2, "none (n=1)"), (3, "")]
+    want = {(2**53 + 1, "CLL", "chronic lymphocytic leukemia"), (None, "AD", "Alzheimer disease"), (2**63 - 1, "MI", "myocardial infarction")}
+    for parts in (1, len(rows)):  # all in one batch, and batches that define nothing
+        df = spark.createDataFrame(rows, "id long, t string").repartition(parts)
+        got = acronyms.definitions(df, "t", ["id"])
+        assert got.columns == ["id", "short", "expansion"] and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert acronyms.definitions(spark.createDataFrame([(1, "none (n=1)")], "id long, t string"), "t", ["id"]).count() == 0
+
+
+def test_definitions_in_long_texts():
+    began = time.time()
+    assert acronyms.harvest_definitions("chronic lymphocytic leukemia (CLL) and other words " * 10_000) == [("CLL", "chronic lymphocytic leukemia")]
+    assert acronyms.harvest_definitions("x " + "ab" * 500_000 + " (abc def)") == []
+    assert acronyms.harvest_definitions("a" * 5_000 + " (AAAAAAAAAB)") == []
+    assert time.time() - began < 10
